@@ -4,45 +4,137 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
-_DDL = {
-    "dispense": """
-        PatPharmSysID STRING, OriginalScriptNumber STRING, ScriptNo BIGINT, Drugname STRING,
-        BrandName STRING, DrugSchedule STRING, StoreId INT, TotalRepeats INT, RepeatNo INT,
-        DispensedDate TIMESTAMP_NTZ, DatePrescribed TIMESTAMP_NTZ, DrugVal STRING,
-        PatientPrice DOUBLE""",
-    "stores": """
-        PharmacyID INT, CommercialName STRING, TimeZoneState STRING, ExcludeHC INT,
-        BIRExtractionFlag INT, ContactPerson1 STRING, ContactPerson2 STRING,
-        ContactNumber STRING, PharmacyGroupId STRING, CommentsHC STRING,
-        BestContactTime STRING, UpdatedDate TIMESTAMP_NTZ, IsActive INT""",
-    "patients": "dispenseid STRING, storeid BIGINT, gender STRING",
-    "contacts": """
-        id BIGINT, patientid STRING, storeid BIGINT, contactemail STRING,
-        created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ""",
-    "errors": """
-        PharmacyId STRING, ErrorID BIGINT, ErrorIndicator STRING, ErrorTypeUDC STRING,
-        ErrorSource STRING, ErrorMessage STRING, StepUDC STRING, TableName STRING,
-        ErrorDate TIMESTAMP_NTZ""",
-    "pings": "StoreId INT, ping TIMESTAMP_NTZ",
-    "users": """
-        Userid BIGINT, Username STRING, Email STRING, Firstname STRING, Lastname STRING,
-        Status STRING, StatusUDC STRING, IsSuperAdmin INT, RoleID INT,
-        CreatedDate TIMESTAMP_NTZ, UpdatedDate TIMESTAMP_NTZ""",
-    "roles": "RoleID INT, RoleName STRING, RoleDescription STRING, IsActive INT",
-    "permissions": """
-        PermissionID INT, PermissionName STRING, PermissionDescription STRING, Module STRING,
-        IsActive INT""",
-    "role_permissions": "RoleID INT, PermissionID INT, IsActive INT",
-    "messages": "conv_id BIGINT, turn BIGINT, message STRING",
-    "sales": "StoreId STRING, SalesDate TIMESTAMP_NTZ",
-    "stock": "StoreId STRING, StockID BIGINT",
-    "ean_links": "StoreId STRING, EAN BIGINT",
-    "wh_patients": "StoreId STRING, PatientId BIGINT",
-}
+STRING, LONG, INTEGER, DOUBLE = StringType(), LongType(), IntegerType(), DoubleType()
+TIME = TimestampNTZType()
+
+
+def _table(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+SCHEMAS: dict[str, StructType] = {
+    "dispense": _table(
+        PatPharmSysID=STRING,
+        OriginalScriptNumber=STRING,
+        ScriptNo=LONG,
+        Drugname=STRING,
+        BrandName=STRING,
+        DrugSchedule=STRING,
+        StoreId=INTEGER,
+        TotalRepeats=INTEGER,
+        RepeatNo=INTEGER,
+        DispensedDate=TIME,
+        DatePrescribed=TIME,
+        DrugVal=STRING,
+        PatientPrice=DOUBLE,
+    ),
+    "stores": _table(
+        PharmacyID=INTEGER,
+        CommercialName=STRING,
+        TimeZoneState=STRING,
+        ExcludeHC=INTEGER,
+        BIRExtractionFlag=INTEGER,
+        ContactPerson1=STRING,
+        ContactPerson2=STRING,
+        ContactNumber=STRING,
+        PharmacyGroupId=STRING,
+        CommentsHC=STRING,
+        BestContactTime=STRING,
+        UpdatedDate=TIME,
+        IsActive=INTEGER,
+    ),
+    "patients": _table(
+        dispenseid=STRING,
+        storeid=LONG,
+        gender=STRING,
+    ),
+    "contacts": _table(
+        id=LONG,
+        patientid=STRING,
+        storeid=LONG,
+        contactemail=STRING,
+        created_at=TIME,
+        updated_at=TIME,
+    ),
+    "errors": _table(
+        PharmacyId=STRING,
+        ErrorID=LONG,
+        ErrorIndicator=STRING,
+        ErrorTypeUDC=STRING,
+        ErrorSource=STRING,
+        ErrorMessage=STRING,
+        StepUDC=STRING,
+        TableName=STRING,
+        ErrorDate=TIME,
+    ),
+    "pings": _table(
+        StoreId=INTEGER,
+        ping=TIME,
+    ),
+    "users": _table(
+        Userid=LONG,
+        Username=STRING,
+        Email=STRING,
+        Firstname=STRING,
+        Lastname=STRING,
+        Status=STRING,
+        StatusUDC=STRING,
+        IsSuperAdmin=INTEGER,
+        RoleID=INTEGER,
+        CreatedDate=TIME,
+        UpdatedDate=TIME,
+    ),
+    "roles": _table(
+        RoleID=INTEGER,
+        RoleName=STRING,
+        RoleDescription=STRING,
+        IsActive=INTEGER,
+    ),
+    "permissions": _table(
+        PermissionID=INTEGER,
+        PermissionName=STRING,
+        PermissionDescription=STRING,
+        Module=STRING,
+        IsActive=INTEGER,
+    ),
+    "role_permissions": _table(
+        RoleID=INTEGER,
+        PermissionID=INTEGER,
+        IsActive=INTEGER,
+    ),
+    "messages": _table(
+        conv_id=LONG,
+        turn=LONG,
+        message=STRING,
+    ),
+    "sales": _table(
+        StoreId=STRING,
+        SalesDate=TIME,
+    ),
+    "stock": _table(
+        StoreId=STRING,
+        StockID=LONG,
+    ),
+    "ean_links": _table(
+        StoreId=STRING,
+        EAN=LONG,
+    ),
+    "wh_patients": _table(
+        StoreId=STRING,
+        PatientId=LONG,
+    ),
+}
 
 # Tables of the sales and stock warehouse; all others belong to the configuration database.
 WAREHOUSE_TABLES = ("sales", "stock", "ean_links", "wh_patients")
