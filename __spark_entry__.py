@@ -41,16 +41,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    cells = []
+    fitted = {}
     for field in df.schema.fields:
         kind = field.dataType.typeName()
-        column = F.col(f"`{field.name}`")
         if kind in ("date", "timestamp", "timestamp_ntz"):
-            column = column.cast("string")
+            fitted[field.name] = F.col(f"`{field.name}`").cast("string")
         elif kind == "double":
-            column = F.round(column, 2 if field.name == "totalValue" else 6)
-        cells.append(column.alias(field.name))
-    return df.select(*cells)
+            digits = 2 if field.name == "totalValue" else 6
+            fitted[field.name] = F.round(F.col(f"`{field.name}`"), digits)
+    return df.withColumns(fitted) if fitted else df
 
 
 def _rules() -> tuple[monitoring.IgnoreRule, ...]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import Clock, days_between
 from ..functions.values import whole_average
 from .filters import dispense_filter, present
-from .ranking import number_copies, top_rows
+from .ranking import number_rows, top_rows
 from .volumes import per_store
 
 SCRIPT_KEYS = ["PatPharmSysID", "OriginalScriptNumber", "Drugname", "StoreId", "TotalRepeats"]
@@ -269,7 +269,7 @@ def repeat_sequence(
     rows = _rows(
         dispense, as_of, days, store_id, drug, min_repeats, "OriginalScriptNumber", "StoreId"
     )
-    return number_copies(
+    return number_rows(
         rows,
         ["StoreId", "PatPharmSysID", "OriginalScriptNumber"],
         ["RepeatNo", "DispensedDate", "Drugname", "TotalRepeats"],

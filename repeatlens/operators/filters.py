@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,8 @@ def same_day(df: DataFrame, ts: str, as_of: Clock) -> DataFrame:
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
     """Rows in which all the named columns have a value."""
-    for name in columns:
-        df = df.where(F.col(name).isNotNull())
-    return df
+    tests = [F.col(name).isNotNull() for name in columns]
+    return df.where(reduce(lambda left, right: left & right, tests)) if tests else df
 
 
 def dispense_filter(
@@ -56,15 +57,33 @@ def dispense_filter(
     return df
 
 
-def lookup_by_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is in the key table. A repeated key does not repeat rows.
+def matched(df: DataFrame, unique: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Equality join of ``df`` to rows that are unique in ``on`` and have no null
+    there, safe for keys that hold a large share of ``df``.
 
-    No broadcast is forced: the optimizer broadcasts a key table it knows to be
-    small and joins a large one by shuffle.
+    The keys meet as one struct. That gives the join shuffles of its own even where
+    ``unique`` was just grouped by the same columns, and adaptive execution splits
+    a hot partition only when the shuffle sits right below the join. Nothing is
+    broadcast by force: a small side is broadcast once its size is known.
     """
-    return df.join(keys.select(*on), on, "left_semi")
+    key = F.struct(*[F.col(name) for name in on])
+    left = df.withColumn("_key", key)
+    right = unique.withColumn("_key", key).drop(*on)
+    return left.join(right, "_key", how).drop("_key")
+
+
+def _key_set(df: DataFrame, on: list[str]) -> DataFrame:
+    """The key values that occur, each once. Combined before the shuffle, so a hot
+    key travels once per task."""
+    return present(df.select(*on), *on).distinct()
+
+
+def lookup_by_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in the key table. A repeated key does not repeat rows."""
+    return matched(df, _key_set(keys, on), on, "left_semi")
 
 
 def not_exists_insert(new: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
-    """The new rows whose key is not in the existing table yet."""
-    return new.join(existing.select(*on), on, "left_anti")
+    """The new rows whose key is not in the existing table yet. A row without a
+    key counts as new."""
+    return matched(new, _key_set(existing, on), on, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import present
@@ -13,73 +13,61 @@ from .filters import present
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, nullability, nulls, distinct values, smallest and largest value of
-    every column.
+    every column. Columns hold plain values, no arrays, maps or structs.
 
-    Nulls and bounds come from one global aggregate. Exact distinct counts turn
-    the columns into (column, value) rows, which are deduplicated before the
-    shuffle; a value that fills a third of a column travels once per task.
-    ``approximate`` replaces that second pass by a sketch in the first one.
+    Columns of one type become (column, value) rows, which are counted per value
+    before the shuffle: a value that fills a third of a column travels once per
+    task. Each type reads only its own columns, so a stored table is read once in
+    total; save a computed one first. ``approximate`` counts distinct values with
+    a sketch, which leaves one row per column and task to shuffle.
     """
-    rows = []
-    measures = []
-    for place, field in enumerate(df.schema.fields):
-        column = F.col(f"`{field.name}`")
-        measures += [
-            F.count_if(column.isNull()).alias(f"_nulls{place}"),
-            F.min(column).cast("string").alias(f"_min{place}"),
-            F.max(column).cast("string").alias(f"_max{place}"),
-        ]
-        if approximate:
-            measures.append(F.approx_count_distinct(column).alias(f"_distinct{place}"))
-        rows.append(_profile_row(place, field, approximate))
-    profile = df.agg(*measures).select(F.inline(F.array(*rows)))
-    if approximate:
-        return profile
+    fields = df.schema.fields
+    by_type: dict[str, list[int]] = {}
+    for place, field in enumerate(fields):
+        by_type.setdefault(field.dataType.simpleString(), []).append(place)
+    measures = [_measures(df, places, approximate) for places in by_type.values()]
+    heads = [
+        F.struct(
+            F.lit(place + 1).alias("position"),
+            F.lit(field.name).alias("column_name"),
+            F.lit(field.dataType.simpleString()).alias("data_type"),
+            F.lit("YES" if field.nullable else "NO").alias("nullable"),
+        )
+        for place, field in enumerate(fields)
+    ]
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*heads)))
+    counted = reduce(DataFrame.unionByName, measures)
     return (
-        profile.join(distinct_values(df), "column_name", "left")
-        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        listed.join(counted, "position", "left")
         .select(
-            "position",
-            "column_name",
-            "data_type",
-            "nullable",
-            "null_count",
-            "distinct_count",
+            *listed.columns,
+            F.coalesce("null_count", F.lit(0)).alias("null_count"),
+            F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
             "min_value",
             "max_value",
         )
+        .orderBy("position")
     )
 
 
-def _profile_row(place: int, field, approximate: bool) -> Column:
+def _measures(df: DataFrame, places: list[int], approximate: bool) -> DataFrame:
+    """Measures of columns that share a type, by position."""
     cells = [
-        F.lit(place + 1).alias("position"),
-        F.lit(field.name).alias("column_name"),
-        F.lit(field.dataType.simpleString()).alias("data_type"),
-        F.lit("YES" if field.nullable else "NO").alias("nullable"),
-        F.col(f"_nulls{place}").alias("null_count"),
+        F.struct(F.lit(place + 1).alias("position"), F.col(f"`{df.columns[place]}`").alias("value"))
+        for place in places
     ]
+    values = df.select(F.inline(F.array(*cells)))
+    value = F.col("value")
     if approximate:
-        cells.append(F.col(f"_distinct{place}").alias("distinct_count"))
-    cells += [
-        F.col(f"_min{place}").alias("min_value"),
-        F.col(f"_max{place}").alias("max_value"),
-    ]
-    return F.struct(*cells)
-
-
-def distinct_values(df: DataFrame) -> DataFrame:
-    """Number of distinct non-null values of every column."""
-    cells = [
-        F.struct(
-            F.lit(name).alias("column_name"), F.col(f"`{name}`").cast("string").alias("value")
-        )
-        for name in df.columns
-    ]
-    return (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("column_name")
-        .agg(F.countDistinct("value").alias("distinct_count"))
+        rows, distinct = F.lit(1), F.approx_count_distinct(value)
+    else:
+        values = values.groupBy("position", "value").agg(F.count("*").alias("rows"))
+        rows, distinct = F.col("rows"), F.count(value)
+    return values.groupBy("position").agg(
+        F.sum(F.when(value.isNull(), rows).otherwise(0)).cast("long").alias("null_count"),
+        distinct.alias("distinct_count"),
+        F.min(value).cast("string").alias("min_value"),
+        F.max(value).cast("string").alias("max_value"),
     )
 
 

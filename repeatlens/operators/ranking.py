@@ -34,22 +34,58 @@ def top_rows(df: DataFrame, n: int, order: list[Column], per: list[str] | None =
     return df.orderBy(*order).limit(n)
 
 
-def number_copies(
-    df: DataFrame, group: list[str], order: list[str], slice_by: Column, chunk: int = 100_000
+# A group with more rows than this is numbered in pieces.
+HOT_ROWS = 1_000_000
+
+
+def number_rows(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    slice_by: Column,
+    hot_rows: int = HOT_ROWS,
+    chunk: int = 100_000,
 ) -> DataFrame:
     """1-based position of every row in its group, for groups of any size.
 
-    ``df`` is cut down to ``group`` and ``order`` columns. A plain ``row_number``
-    would sort a whole group in one task, so a group that holds a large share of
-    the table would never finish. Here
+    ``df`` is cut down to ``group`` and ``order`` columns. Groups of ordinary size
+    take a plain ``row_number``, which sorts a group inside one task. Groups with
+    more than ``hot_rows`` rows are numbered in pieces by :func:`number_copies`.
+
+    The hot groups are found by a count that is combined before the shuffle. There
+    are at most (rows / ``hot_rows``) of them, whatever the data, which is what
+    makes broadcasting their keys safe. ``group`` columns must not be null.
+    """
+    rows = df.select(*group, *order)
+    hot = (
+        rows.groupBy(*group)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .select(*group)
+    )
+    in_order = [F.col(name).asc_nulls_first() for name in order]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*in_order))
+    plain = rows.join(F.broadcast(hot), group, "left_anti").withColumn(
+        "_position", rank.cast("long")
+    )
+    pieces = number_copies(
+        rows.join(F.broadcast(hot), group, "left_semi"), group, order, slice_by, chunk
+    )
+    return plain.unionByName(pieces)
+
+
+def number_copies(
+    df: DataFrame, group: list[str], order: list[str], slice_by: Column, chunk: int = 100_000
+) -> DataFrame:
+    """Positions as in :func:`number_rows` without ever sorting a group in one task.
 
-    * rows that agree in all columns are counted before the shuffle and written
-      out again at the end, in chunks of at most ``chunk`` rows;
-    * positions are summed in two steps: inside a slice (leading order column and
+    * Rows that agree in all columns are counted before the shuffle and written
+      out again at the end, in chunks of at most ``chunk`` rows.
+    * Positions are summed in two steps: inside a slice (leading order column and
       ``slice_by``, which must not break the order), then over the slice sizes.
 
     Nothing depends on task or partition numbers, so a recomputed partition gives
-    the same positions. ``group`` columns must not be null.
+    the same positions.
     """
     lead = order[0]
     copies = (

@@ -15,7 +15,7 @@ from ..functions.clock import (
     shifted,
     to_clock,
 )
-from .filters import for_store, present, recent_window
+from .filters import for_store, matched, present, recent_window
 from .ranking import DISPENSE_TIES, first_per_group, newest_first
 from .volumes import per_store
 
@@ -62,8 +62,7 @@ def dispense_with_contact(dispense: DataFrame, contacts: DataFrame) -> DataFrame
     """Dispenses of patients with contact data at the same store, and the address.
 
     Contacts are reduced to one row per patient and store first, so the join
-    never multiplies dispenses. That grouping has the join's own keys: a
-    shuffle join reuses its partitioning.
+    never multiplies dispenses.
     """
     reachable = (
         present(contacts, "patientid", "storeid")
@@ -73,10 +72,14 @@ def dispense_with_contact(dispense: DataFrame, contacts: DataFrame) -> DataFrame
         )
         .agg(F.min("contactemail").alias("ContactEmail"))
     )
-    keyed = dispense.withColumn("_patient", F.col("PatPharmSysID").cast("string")).withColumn(
-        "_store", F.col("StoreId").cast("long")
+    keyed = dispense.withColumns(
+        {
+            "_patient": F.col("PatPharmSysID").cast("string"),
+            "_store": F.col("StoreId").cast("long"),
+        }
     )
-    return keyed.join(reachable, ["_patient", "_store"]).drop("_patient", "_store")
+    keyed = present(keyed, "_patient", "_store")
+    return matched(keyed, reachable, ["_patient", "_store"], "inner").drop("_patient", "_store")
 
 
 def latest_dispense(
