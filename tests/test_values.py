@@ -106,6 +106,6 @@ def test_texts(spark):
     assert got == ["N/A", "N/A", "x" * 60, "x" * 60 + "..."]
     name = F.lit("Chemist DISCOUNT centre North chemist discount centre")
     assert one(spark, n=text.short_brand(name)) == {"n": "CDC North CDC"}
-    assert text.file_slug("St. Mary's 24/7 é") == "St--Mary-s-24-7--"
+    assert text.file_slug("St. Mary's 24/7 " + chr(0xE9)) == "St--Mary-s-24-7--"
     label = text.store_label(F.lit(None).cast("string"), F.lit(7))
     assert one(spark, n=label) == {"n": "Store 7"}
