@@ -243,9 +243,9 @@ _DRUG_TOTALS = """
 
 _ADHERENCE = """
     count(*) AS TotalScripts,
-    count(CASE WHEN DispensedRepeats = TotalRepeats + 1 THEN 1 END) AS FullyCompliantScripts,
-    count(CASE WHEN DispensedRepeats > (TotalRepeats + 1) * 0.8 THEN 1 END) AS HighCompliantScripts,
-    count(CASE WHEN DispensedRepeats < (TotalRepeats + 1) * 0.5 THEN 1 END) AS LowCompliantScripts,
+    count(*) FILTER (WHERE DispensedRepeats = TotalRepeats + 1) AS FullyCompliantScripts,
+    count(*) FILTER (WHERE DispensedRepeats > (TotalRepeats + 1) * 0.8) AS HighCompliantScripts,
+    count(*) FILTER (WHERE DispensedRepeats < (TotalRepeats + 1) * 0.5) AS LowCompliantScripts,
     count(DISTINCT PatPharmSysID) AS TotalPatients,
     round(avg(CAST(DispensedRepeats AS DOUBLE) / (TotalRepeats + 1) * 100), 6) AS OverallComplianceRate"""
 
@@ -257,10 +257,10 @@ _BY_REPEAT = """
 
 _DUE_COUNTS = """
     count(*) AS TotalPredictions,
-    count(CASE WHEN Due < TIMESTAMP '2001-07-31 00:00:00' THEN 1 END) AS Overdue,
-    count(CASE WHEN CAST(Due AS DATE) = DATE '2001-07-31' THEN 1 END) AS DueToday,
-    count(CASE WHEN Due <= TIMESTAMP '2001-08-07 10:30:00' THEN 1 END) AS DueThisWeek,
-    count(CASE WHEN Due <= TIMESTAMP '2001-08-30 10:30:00' THEN 1 END) AS DueInSelectedPeriod,
+    count(*) FILTER (WHERE Due < TIMESTAMP '2001-07-31 00:00:00') AS Overdue,
+    count(*) FILTER (WHERE CAST(Due AS DATE) = DATE '2001-07-31') AS DueToday,
+    count(*) FILTER (WHERE Due <= TIMESTAMP '2001-08-07 10:30:00') AS DueThisWeek,
+    count(*) FILTER (WHERE Due <= TIMESTAMP '2001-08-30 10:30:00') AS DueInSelectedPeriod,
     count(DISTINCT PatPharmSysID) AS UniquePatients"""
 
 _GAPS = """
@@ -430,8 +430,8 @@ QUERIES = {
     "medication_compliance": """
         SELECT Drugname, count(*) AS TotalScripts, count(DISTINCT PatPharmSysID) AS TotalPatients,
                round(avg(rate), 6) AS AvgComplianceRate,
-               count(CASE WHEN rate >= 100 THEN 1 END) AS FullyCompliant,
-               count(CASE WHEN rate < 50 THEN 1 END) AS LowCompliance
+               count(*) FILTER (WHERE rate >= 100) AS FullyCompliant,
+               count(*) FILTER (WHERE rate < 50) AS LowCompliance
         FROM (SELECT Drugname, PatPharmSysID, OriginalScriptNumber, TotalRepeats,
                      CAST(count(*) AS DOUBLE) / (TotalRepeats + 1) * 100 AS rate
               FROM dispense
@@ -453,12 +453,12 @@ QUERIES = {
     "chronic_medications": """
         SELECT Drugname, count(DISTINCT PatPharmSysID) AS TotalPatients, count(*) AS TotalDispenses,
                round(avg(CAST(TotalRepeats AS DOUBLE)), 6) AS AvgTotalRepeats,
-               count(CASE WHEN TotalRepeats >= 5 THEN 1 END) AS LongTermScripts,
-               round(CAST(count(CASE WHEN TotalRepeats >= 5 THEN 1 END) AS DOUBLE) / count(*) * 100, 6)
+               count(*) FILTER (WHERE TotalRepeats >= 5) AS LongTermScripts,
+               round(CAST(count(*) FILTER (WHERE TotalRepeats >= 5) AS DOUBLE) / count(*) * 100, 6)
                    AS ChronicMedicationRate
         FROM dispense WHERE TotalRepeats >= 2 AND PatPharmSysID IS NOT NULL
         GROUP BY Drugname HAVING count(DISTINCT PatPharmSysID) >= 10
-        ORDER BY CAST(count(CASE WHEN TotalRepeats >= 5 THEN 1 END) AS DOUBLE) / count(*) DESC,
+        ORDER BY CAST(count(*) FILTER (WHERE TotalRepeats >= 5) AS DOUBLE) / count(*) DESC,
                  TotalPatients DESC, Drugname NULLS FIRST LIMIT 15""",
     "repeat_sequence": """
         SELECT StoreId, PatPharmSysID, OriginalScriptNumber, RepeatNo,
