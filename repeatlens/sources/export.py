@@ -62,9 +62,17 @@ def refill_file_name(store_name: str, as_of: Clock) -> str:
     return f"refill-predictions-{file_slug(store_name)}-{to_clock(as_of).date().isoformat()}.csv"
 
 
-def save_table(df: DataFrame, path: str) -> DataFrame:
-    """Write a built table as parquet, replacing the old one, and read it back."""
-    df.write.mode("overwrite").parquet(path)
+def save_table(df: DataFrame, path: str, sort_by: list[str] | None = None) -> DataFrame:
+    """Write a built table as parquet, replacing the old one, and read it back.
+
+    ``sort_by`` lays the rows out in ranges of those columns, so that filters on
+    the first of them skip files and row groups by their bounds. Name enough
+    columns to tell rows apart; a single hot value could not be split otherwise.
+    """
+    laid_out = df
+    if sort_by:
+        laid_out = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    laid_out.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,3 +23,19 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def conf(spark):
+    """Settings for one test."""
+    changed = {}
+
+    def put(**settings):
+        for name, value in settings.items():
+            key = f"spark.sql.{name.replace('__', '.')}"
+            changed.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in changed.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from repeatlens.operators import adherence, profile, refills, stores, volumes
@@ -129,6 +130,21 @@ def test_saved_contacts_keep_their_ids(spark, tmp_path):
     assert len(set(first.values())) == 50
 
 
+def test_sorted_layout_separates_dates(spark, conf, tmp_path, dispense):
+    conf(adaptive__coalescePartitions__enabled="false")
+    order = ["DispensedDate", "StoreId", "ScriptNo"]
+    saved = export.save_table(dispense.repartition(4), f"{tmp_path}/d", sort_by=order)
+    assert same(saved, dispense)
+    spans = sorted(
+        (r["low"], r["high"])
+        for r in saved.groupBy("_metadata.file_path")
+        .agg(F.min("DispensedDate").alias("low"), F.max("DispensedDate").alias("high"))
+        .collect()
+    )
+    assert len(spans) > 1
+    assert all(left[1] <= right[0] for left, right in zip(spans, spans[1:]))
+
+
 def test_shared_folder_is_the_configured_one(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     a, b = export.shared_folder(spark, "x"), export.shared_folder(spark, "x")
