@@ -104,6 +104,9 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         t.stores, t.sales, t.stock, t.ean_links, t.wh_patients, t.dispense, t.pings
     ),
     # Volumes
+    "dispense_filter": lambda t: filters.dispense_filter(
+        t.dispense, _D, days=365, schedule="ECONOMY", drug="RING", min_repeats=3
+    ),
     "dispense_summary": lambda t: volumes.dispense_summary(t.dispense, _D),
     "dispense_summary_by_store": lambda t: volumes.dispense_summary(
         t.dispense, _D, days=365, by_store=True

@@ -367,6 +367,12 @@ QUERIES = {
                ON e.StoreId = CAST(p.PharmacyID AS VARCHAR)
         LEFT JOIN patient_counts c ON c.StoreId = CAST(p.PharmacyID AS VARCHAR)
         LEFT JOIN last_pings h ON h.StoreId = p.PharmacyID""",
+    "dispense_filter": """
+        SELECT * REPLACE (CAST(DispensedDate AS VARCHAR) AS DispensedDate,
+                          CAST(DatePrescribed AS VARCHAR) AS DatePrescribed)
+        FROM dispense d
+        WHERE d.DispensedDate >= TIMESTAMP '2001-07-31 10:30:00' - INTERVAL '365 days'
+          AND DrugSchedule = 'ECONOMY' AND Drugname ILIKE '%ring%' AND TotalRepeats >= 3""",
     "dispense_summary": """
         SELECT count(*) AS totalDispenses,
                round(coalesce(CAST(sum(CAST(DrugVal AS DECIMAL(18, 4))) AS DOUBLE), 0), 2) AS totalValue,

@@ -88,11 +88,12 @@ def top_drugs(
 
 
 def ranked(totals: DataFrame, n: int, order: list[Column], keys: list[str]) -> DataFrame:
-    """The first ``n`` rows with a 1-based rank. The rank is computed after the
-    cut, so its window holds ``n`` rows (per store)."""
-    window = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)
-    top = top_rows(totals, n, order, keys or None).withColumn("rank", F.row_number().over(window))
-    return top.orderBy(*keys, "rank")
+    """The first ``n`` rows with a 1-based rank, per store when ``keys`` is given.
+    The rank of the whole is numbered after the cut, over ``n`` rows."""
+    top = totals if keys else totals.orderBy(*order).limit(n)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    placed = top.withColumn("rank", F.row_number().over(window))
+    return placed.where(F.col("rank") <= n).orderBy(*keys, "rank")
 
 
 def schedule_mix(
