@@ -68,20 +68,19 @@ def role_permission_matrix(
 ) -> DataFrame:
     """Which role holds which permission.
 
-    The grants become (role name, permission id) rows, so both sides meet in
-    equality joins and no product of the two tables is formed.
+    Each permission lists the roles that hold it, in one pass over the
+    permissions; the roles then join by name. No product of the two tables is
+    formed.
     """
-    named = [
-        permissions.where(F.col("PermissionName").isin(list(names))).select(
-            F.lit(role).alias("RoleName"), "PermissionID", "PermissionName"
-        )
-        for role, names in grants.items()
+    holders = [F.when(F.col("IsActive") == 1, all_role)]
+    holders += [
+        F.when(F.col("PermissionName").isin(list(names)), role) for role, names in grants.items()
     ]
-    granted = permissions.where(F.col("IsActive") == 1).select(
-        F.lit(all_role).alias("RoleName"), "PermissionID", "PermissionName"
+    granted = permissions.select(
+        "PermissionID",
+        "PermissionName",
+        F.explode(F.array_compact(F.array(*holders))).alias("RoleName"),
     )
-    for rows in named:
-        granted = granted.unionByName(rows)
     return granted.join(roles.select("RoleID", "RoleName"), "RoleName").select(
         "RoleID", "RoleName", "PermissionID", "PermissionName"
     )

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Orders rows that share a dispense date. Every column is part of the reports
-# that use it, so the tie-break adds nothing to the scan but the script number
-# and the value.
-DISPENSE_TIES = ("ScriptNo", "DrugVal", "RepeatNo", "TotalRepeats")
+# Orders rows that share a dispense date. Rows that agree in all of these are equal
+# in every report, so which of them is taken makes no difference.
+DISPENSE_TIES = ("ScriptNo", "DrugVal", "RepeatNo", "TotalRepeats", "BrandName")
 
 
 def newest_first(date_column: str, ties: tuple[str, ...]) -> list[Column]:

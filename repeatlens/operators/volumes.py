@@ -169,18 +169,11 @@ def today_stats(dispense: DataFrame, as_of: Clock) -> DataFrame:
 
 def recent_dispenses(dispense: DataFrame, n: int = 10) -> DataFrame:
     """The newest dispenses of the chain."""
-    order = newest_first("DispensedDate", ("ScriptNo", "DrugVal"))
+    shown = ("ScriptNo", "PatPharmSysID", "Drugname", "StoreId")
+    order = newest_first("DispensedDate", ("ScriptNo", "DrugVal", *shown[1:]))
     return (
-        dispense.select(
-            "ScriptNo", "PatPharmSysID", "Drugname", "StoreId", "DispensedDate", "DrugVal"
-        )
+        dispense.select("DispensedDate", "DrugVal", *shown)
         .orderBy(*order)
         .limit(n)
-        .select(
-            "ScriptNo",
-            "PatPharmSysID",
-            "Drugname",
-            "StoreId",
-            time_text(F.col("DispensedDate")).alias("DispensedDate"),
-        )
+        .select(*shown, time_text(F.col("DispensedDate")).alias("DispensedDate"))
     )

@@ -2,8 +2,12 @@
 
 Several panels read the same rows at different grain. Instead of one scan per
 panel, a bundle groups the fact table once to the finest grain its panels need
-and keeps that. The kept data is an ordinary persisted DataFrame: a lost
-executor means recomputing its part.
+and keeps that, either persisted (a lost executor means recomputing its part) or
+as a table in the folder all executors share (``keep="table"``; it is written
+when the bundle is made and stays until that folder is cleared). Persisting suits
+the volume and refill bundles, whose shared part is small at any scale; the script
+table of the adherence bundle grows with the data and is better kept as a table
+when it exceeds the executors' storage.
 """
 
 from __future__ import annotations
@@ -16,9 +20,22 @@ from ..functions.values import or_zero
 from ..operators import adherence, profile, refills, stores, volumes
 from ..operators.filters import dispense_filter, for_store, present
 from ..operators.ranking import top_rows
+from ..sources.export import save_table, shared_folder
 from ..sources.tables import Tables
 
 
+KEEP_PERSISTED = "persist"
+KEEP_TABLE = "table"
+
+
+def _kept(df: DataFrame, keep: str) -> DataFrame:
+    if keep == KEEP_TABLE:
+        return save_table(df, shared_folder(df.sparkSession, "report"))
+    if keep == KEEP_PERSISTED:
+        return df.persist()
+    raise ValueError(f"keep is {KEEP_PERSISTED!r} or {KEEP_TABLE!r}, not {keep!r}")
+
+
 class Report:
     """Panels by name. Closing it frees the shared intermediate."""
 
@@ -37,7 +54,7 @@ class Report:
 
     def close(self) -> None:
         if self._shared is not None:
-            self._shared.unpersist()
+            self._shared.unpersist()  # does nothing to a table
             self._shared = None
 
 
@@ -72,12 +89,17 @@ def volume_cells(dispense: DataFrame, as_of: Clock, days: int | None, schedule)
 
 
 def analytics_report(
-    t: Tables, as_of: Clock, days: int | None = None, store_id=None, schedule: str | None = None
+    t: Tables,
+    as_of: Clock,
+    days: int | None = None,
+    store_id=None,
+    schedule: str | None = None,
+    keep: str = KEEP_PERSISTED,
 ) -> Report:
     """The nine panels of the volume page. Range, store and schedule filters reach
     the panels they apply to: the trend has its own range, the store ranking shows
     all stores, patients and options are never filtered."""
-    cells = volume_cells(t.dispense, as_of, days, schedule).persist()
+    cells = _kept(volume_cells(t.dispense, as_of, days, schedule), keep)
     mine = for_store(cells, store_id)
     picked = mine.where("_selected")
     count = F.sum("_rows")
@@ -131,6 +153,7 @@ def adherence_report(
     store_id=None,
     drug: str | None = None,
     min_repeats: int = 2,
+    keep: str = KEEP_PERSISTED,
 ) -> Report:
     """The panels of the adherence page. Four of them come from one table of
     scripts; the repeat buckets and the store row read the dispenses."""
@@ -138,7 +161,7 @@ def adherence_report(
         dispense_filter(t.dispense, as_of, days, store_id, drug=drug, min_repeats=min_repeats),
         "PatPharmSysID",
     )
-    fills = adherence.script_fills(rows).persist()
+    fills = _kept(adherence.script_fills(rows), keep)
     scripts = present(fills, "OriginalScriptNumber")
     across_stores = scripts.groupBy(
         "PatPharmSysID", "OriginalScriptNumber", "Drugname", "TotalRepeats"
@@ -156,12 +179,15 @@ def adherence_report(
     return Report(panels, fills)
 
 
-def refill_report(t: Tables, as_of: Clock, days: int = 3, store_id=None) -> Report:
+def refill_report(
+    t: Tables, as_of: Clock, days: int = 3, store_id=None, keep: str = KEEP_PERSISTED
+) -> Report:
     """List, counts and store row of the refill page. List and counts share the due
     refills; the list leaves out those without a drug name."""
-    due = refills.due_refills(
-        t.dispense, t.contacts, as_of, days, store_id, require_drug=False
-    ).persist()
+    due = _kept(
+        refills.due_refills(t.dispense, t.contacts, as_of, days, store_id, require_drug=False),
+        keep,
+    )
     panels = {
         "predictions": refills.list_due(present(due, "Drugname"), as_of),
         "summary": refills.summarise_due(due, as_of, days),

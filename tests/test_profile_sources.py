@@ -169,6 +169,7 @@ def same(a, b):
         {"days": 20},
         {"store_id": 2, "days": 45},
         {"schedule": "S8", "store_id": 1},
+        {"days": 10, "keep": "table"},
     ],
 )
 def test_analytics_report_equals_its_operators(spark, dispense, args):
@@ -195,11 +196,14 @@ def test_analytics_report_equals_its_operators(spark, dispense, args):
             assert same(report[name], df), name
 
 
-@pytest.mark.parametrize("args", [{}, {"store_id": 3, "days": 50, "min_repeats": 3, "drug": "a"}])
+@pytest.mark.parametrize(
+    "args", [{}, {"store_id": 3, "days": 50, "min_repeats": 3, "drug": "a", "keep": "table"}]
+)
 def test_adherence_report_equals_its_operators(spark, dispense, args):
     listed = frame(spark, "stores", [{"PharmacyID": n} for n in (1, 3)])
     t = tables.Tables({"dispense": lambda: dispense, "stores": lambda: listed})
     with reports.adherence_report(t, CLOCK, **args) as report:
+        args = {name: value for name, value in args.items() if name != "keep"}
         for name, operator in {
             "summary": adherence.adherence_summary,
             "medication_compliance": adherence.medication_compliance,
@@ -212,6 +216,11 @@ def test_adherence_report_equals_its_operators(spark, dispense, args):
         assert same(report["store_activity"], activity)
 
 
+def test_reports_refuse_unknown_keeping(spark, dispense):
+    with pytest.raises(ValueError, match="keep is"):
+        reports.analytics_report(tables.Tables({"dispense": lambda: dispense}), CLOCK, keep="disk")
+
+
 def test_refill_report_equals_its_operators(spark):
     t = sample_tables(spark, SF_DIR)
     with reports.refill_report(t, registry.DISPENSE_CLOCK, 30) as report:
