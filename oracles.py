@@ -521,7 +521,7 @@ QUERIES = {
                     WHEN {_MINUTES} <= 60 THEN 'Warning' ELSE 'Critical' END AS Status,
                CASE WHEN p.BIRExtractionFlag = 1 THEN strftime(h.lastping, {_SECONDS}) END AS LastPing,
                CASE WHEN p.BIRExtractionFlag = 1 THEN strftime(h.previousping, {_SECONDS}) END AS PreviousPing,
-               CASE WHEN p.BIRExtractionFlag = 1 THEN {_MINUTES} END AS MinutesSinceLast
+               CASE WHEN p.BIRExtractionFlag = 1 THEN CAST({_MINUTES} AS VARCHAR) END AS MinutesSinceLast
         FROM stores p LEFT JOIN last_pings h ON h.StoreId = p.PharmacyID""",
     "recent_errors": f"""
         SELECT PharmacyId, ErrorID, ErrorIndicator, ErrorTypeUDC, ErrorSource, ErrorMessage,
