@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .schemas import SCHEMAS, WAREHOUSE_TABLES, conform
 
 Loader = Callable[[], DataFrame]
+Reader = Callable[[str, str], DataFrame]
 
 
 class Tables:
@@ -43,13 +45,13 @@ def load_tables(
     spark: SparkSession,
     base: str,
     warehouse: str | None = None,
-    reader: Callable[[str, str], DataFrame] | None = None,
+    reader: Reader | None = None,
 ) -> Tables:
     """Tables of both databases, checked against the declared schemas.
 
     By default ``<folder>/<name>.parquet`` is read, the warehouse tables from
     their own folder when one is given. ``reader(folder, name)`` replaces that
-    for other formats or a JDBC connection.
+    for other formats, or for a database with :func:`jdbc_reader`.
     """
 
     def read_parquet(folder: str, name: str) -> DataFrame:
@@ -64,6 +66,40 @@ def load_tables(
     return Tables({name: loader(name) for name in SCHEMAS})
 
 
+@dataclass(frozen=True)
+class Split:
+    """How a database table is read in parallel: equal ranges of a number, date or
+    timestamp column, one connection each. Rows outside the bounds are read too."""
+
+    column: str
+    lower: str
+    upper: str
+    parts: int
+
+    def options(self) -> dict[str, str]:
+        return {
+            "partitionColumn": self.column,
+            "lowerBound": self.lower,
+            "upperBound": self.upper,
+            "numPartitions": str(self.parts),
+        }
+
+
+def jdbc_reader(
+    spark: SparkSession, url: str, splits: Mapping[str, Split] | None = None, **options: str
+) -> Reader:
+    """Reader over a JDBC connection, for :func:`load_tables`. The folder names the
+    database schema; tables without a split come through one connection."""
+
+    def read(folder: str, name: str) -> DataFrame:
+        settings = {"url": url, "dbtable": f"{folder}.{name}", **options}
+        if splits and name in splits:
+            settings |= splits[name].options()
+        return spark.read.format("jdbc").options(**settings).load()
+
+    return read
+
+
 def run_sql(spark: SparkSession, query: str, **params) -> DataFrame:
     """SQL over the registered tables with named parameters (``:name``). Values
     are bound by Spark and never become part of the query text."""

@@ -85,6 +85,42 @@ def test_load_tables_casts_and_refuses(spark):
         _ = loaded.stock
 
 
+def test_jdbc_reader_settings():
+    """The settings only; there is no database to read from here."""
+    seen = {}
+
+    class Recorder:
+        read = property(lambda self: self)
+
+        def format(self, kind):
+            seen["format"] = kind
+            return self
+
+        def options(self, **settings):
+            seen.update(settings)
+            return self
+
+        def load(self):
+            return "rows"
+
+    split = tables.Split("StoreId", "0", "1000", 64)
+    read = tables.jdbc_reader(Recorder(), "jdbc:x", {"sales": split}, fetchsize="10000")
+    assert read("dbo", "sales") == "rows"
+    assert seen == {
+        "format": "jdbc",
+        "url": "jdbc:x",
+        "dbtable": "dbo.sales",
+        "fetchsize": "10000",
+        "partitionColumn": "StoreId",
+        "lowerBound": "0",
+        "upperBound": "1000",
+        "numPartitions": "64",
+    }
+    seen.clear()
+    read("dbo", "stock")
+    assert "numPartitions" not in seen
+
+
 def test_sql_parameters_are_values(spark, dispense):
     tables.Tables({"shots": lambda: dispense}).register()
     got = tables.run_sql(

@@ -1,12 +1,16 @@
 """Plans and behaviour that matter when the tables are large."""
 
+import random
 import re
+from collections import Counter
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from repeatlens.operators import filters, refills
+from repeatlens.operators import adherence, filters, monitoring, refills, volumes
+from tests.frames import CLOCK, frame, random_dispenses
 
 SF_DIR = "/root/testdata/sf0.01"
 NOT_SCALABLE = (
@@ -66,6 +70,33 @@ def test_top_lists_keep_few_rows_per_task(spark):
         assert "TakeOrderedAndProject" in plan(registry.queries()[key](spark, SF_DIR), "simple"), key
 
 
+@pytest.mark.parametrize(
+    "operator",
+    [
+        refills.latest_dispense,
+        adherence.repeat_sequence,
+        monitoring.last_dispense,
+        volumes.recent_dispenses,
+        lambda df: volumes.top_drugs(df, CLOCK),
+        lambda df: adherence.medication_gaps(df, CLOCK),
+        lambda df: adherence.chronic_medications(df, CLOCK),
+    ],
+)
+def test_results_do_not_depend_on_the_partitioning(spark, conf, operator):
+    rows = random_dispenses(400, seed=31)
+    # Many equal dates, scripts and values, so that ties decide.
+    for place, row in enumerate(rows):
+        row["ScriptNo"], row["DrugVal"] = place % 3, "1.00"
+        row["DispensedDate"] = CLOCK - timedelta(days=place % 4)
+    results = []
+    for seed, parts in ((1, "1"), (2, "7"), (3, "31")):
+        conf(shuffle__partitions=parts, adaptive__enabled="false")
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        df = frame(spark, "dispense", shuffled).repartition(int(parts))
+        results.append(Counter(map(str, operator(df).collect())))
+    assert results[0] == results[1] == results[2]
+
+
 ROWS = 300_000
 
 
