@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from repeatlens.operators import adherence, filters, monitoring, refills, volumes
+from repeatlens.sources.tables import load_tables
 from tests.frames import CLOCK, frame, random_dispenses
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -54,6 +55,34 @@ def test_only_needed_columns_are_read(spark):
     assert "struct<p_partkey:bigint>" in schemas
 
 
+def test_filters_reach_a_stored_dispense_table(spark, tmp_path):
+    for name in ("dispense", "contacts", "sales"):
+        frame(spark, name, []).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = load_tables(spark, str(tmp_path))
+
+    def pushed(df):
+        return re.findall(r"PushedFilters: \[(.*)\]", plan(df))
+
+    due = pushed(refills.refill_predictions(t.dispense, t.contacts, CLOCK, store_id=3))
+    assert all(
+        part in due[0]
+        for part in (
+            "EqualTo(StoreId,3)",
+            "GreaterThanOrEqual(DispensedDate,2024-01-31T10:30)",
+            "GreaterThan(TotalRepeats,1)",
+            "IsNotNull(Drugname)",
+            "IsNotNull(PatPharmSysID)",
+        )
+    )
+    assert "EqualTo(storeid,3)" in due[1]
+    today = pushed(volumes.today_stats(t.dispense, CLOCK))[0]
+    assert "GreaterThanOrEqual(DispensedDate,2024-03-15T00:00)" in today
+    assert "LessThan(DispensedDate,2024-03-16T00:00)" in today
+    assert "EqualTo(StoreId,12)" in pushed(monitoring.last_sale(t.sales, store_id=12))[0]
+    columns = re.findall(r"ReadSchema: struct<(.*)>", plan(volumes.schedule_mix(t.dispense, CLOCK)))
+    assert columns == ["DrugSchedule:string"]
+
+
 @pytest.mark.parametrize(
     "key",
     ["latest_dispense", "refill_predictions", "recent_errors", "heartbeat_pings", "top_drugs_by_store"],
