@@ -113,9 +113,11 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "patient_total": lambda t: volumes.patient_total(t.patients),
     "daily_trend": lambda t: volumes.daily_trend(t.dispense, _D),
+    "daily_trend_by_store": lambda t: volumes.daily_trend(t.dispense, _D, by_store=True),
     "top_drugs": lambda t: volumes.top_drugs(t.dispense, _D),
     "top_drugs_by_store": lambda t: volumes.top_drugs(t.dispense, _D, n=3, by_store=True),
     "schedule_mix": lambda t: volumes.schedule_mix(t.dispense, _D),
+    "schedule_mix_by_store": lambda t: volumes.schedule_mix(t.dispense, _D, by_store=True),
     "store_ranking": lambda t: volumes.store_ranking(t.dispense, _D, days=90),
     "gender_mix": lambda t: volumes.gender_mix(t.patients),
     "schedule_options": lambda t: volumes.schedule_options(t.dispense),
@@ -128,12 +130,21 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         t.dispense, _D, by_store=True
     ),
     "medication_compliance": lambda t: adherence.medication_compliance(t.dispense, _D),
+    "medication_compliance_by_store": lambda t: adherence.medication_compliance(
+        t.dispense, _D, by_store=True
+    ),
     "compliance_by_repeat": lambda t: adherence.compliance_by_repeat(t.dispense, _D),
     "compliance_by_repeat_by_store": lambda t: adherence.compliance_by_repeat(
         t.dispense, _D, by_store=True
     ),
     "medication_gaps": lambda t: adherence.medication_gaps(t.dispense, _D),
     "medication_gaps_all": lambda t: adherence.medication_gaps(t.dispense, _D, n=None),
+    "medication_gaps_by_store": lambda t: adherence.medication_gaps(
+        t.dispense, _D, by_store=True
+    ),
+    "chronic_medications_by_store": lambda t: adherence.chronic_medications(
+        t.dispense, _D, by_store=True
+    ),
     "chronic_medications": lambda t: adherence.chronic_medications(t.dispense, _D),
     "repeat_sequence": lambda t: adherence.repeat_sequence(t.dispense),
     # Refills

@@ -391,6 +391,11 @@ QUERIES = {
         FROM dispense
         WHERE DispensedDate >= TIMESTAMP '2001-07-31 10:30:00' - INTERVAL '30 days'
         GROUP BY 1""",
+    "daily_trend_by_store": """
+        SELECT StoreId, strftime(DispensedDate, '%Y-%m-%d') AS date, count(*) AS count
+        FROM dispense
+        WHERE DispensedDate >= TIMESTAMP '2001-07-31 10:30:00' - INTERVAL '30 days'
+        GROUP BY 1, 2""",
     "top_drugs": f"""
         SELECT *, CAST(row_number() OVER (ORDER BY totalDispensed DESC, drugName, brandName) AS INT) AS rank
         FROM (SELECT Drugname AS drugName, BrandName AS brandName, {_DRUG_TOTALS}
@@ -405,6 +410,9 @@ QUERIES = {
     "schedule_mix": """
         SELECT coalesce(DrugSchedule, 'Unclassified') AS category, count(*) AS count
         FROM dispense GROUP BY DrugSchedule""",
+    "schedule_mix_by_store": """
+        SELECT StoreId, coalesce(DrugSchedule, 'Unclassified') AS category, count(*) AS count
+        FROM dispense GROUP BY StoreId, DrugSchedule""",
     "store_ranking": """
         SELECT StoreId AS storeId, count(*) AS count,
                round(CAST(sum(CAST(DrugVal AS DECIMAL(18, 4))) AS DOUBLE), 2) AS totalValue
@@ -444,6 +452,14 @@ QUERIES = {
               WHERE TotalRepeats >= 2 AND PatPharmSysID IS NOT NULL AND OriginalScriptNumber IS NOT NULL
               GROUP BY Drugname, PatPharmSysID, OriginalScriptNumber, TotalRepeats)
         GROUP BY Drugname ORDER BY TotalScripts DESC, Drugname NULLS FIRST LIMIT 10""",
+    "medication_compliance_by_store": """
+        SELECT StoreId, Drugname, count(*) AS TotalScripts, count(DISTINCT PatPharmSysID) AS TotalPatients,
+               round(avg(100.0::DOUBLE * DispensedRepeats / (TotalRepeats + 1)), 6) AS AvgComplianceRate,
+               count(*) FILTER (WHERE DispensedRepeats >= TotalRepeats + 1) AS FullyCompliant,
+               count(*) FILTER (WHERE 2 * DispensedRepeats < TotalRepeats + 1) AS LowCompliance
+        FROM scripts GROUP BY StoreId, Drugname
+        QUALIFY row_number() OVER (PARTITION BY StoreId
+            ORDER BY count(*) DESC, Drugname NULLS FIRST) <= 10""",
     "compliance_by_repeat": f"""
         SELECT {_BY_REPEAT} FROM dispense d
         WHERE d.RepeatNo IS NOT NULL AND TotalRepeats >= 2 AND PatPharmSysID IS NOT NULL
@@ -456,6 +472,22 @@ QUERIES = {
         {_GAPS} ORDER BY MissedRepeats DESC, TotalRepeats DESC, PatPharmSysID, OriginalScriptNumber,
                          Drugname NULLS FIRST, StoreId LIMIT 20""",
     "medication_gaps_all": _GAPS,
+    "medication_gaps_by_store": f"""
+        {_GAPS} QUALIFY row_number() OVER (PARTITION BY StoreId
+            ORDER BY TotalRepeats + 1 - DispensedRepeats DESC, TotalRepeats DESC, PatPharmSysID,
+                     OriginalScriptNumber, Drugname NULLS FIRST) <= 20""",
+    "chronic_medications_by_store": """
+        SELECT StoreId, Drugname, TotalPatients, TotalDispenses, round(AvgTotalRepeats, 6) AS AvgTotalRepeats,
+               LongTermScripts, round(Rate, 6) AS ChronicMedicationRate
+        FROM (SELECT StoreId, Drugname, count(DISTINCT PatPharmSysID) AS TotalPatients,
+                     count(*) AS TotalDispenses, avg(CAST(TotalRepeats AS DOUBLE)) AS AvgTotalRepeats,
+                     count(*) FILTER (WHERE TotalRepeats >= 5) AS LongTermScripts,
+                     CAST(LongTermScripts AS DOUBLE) / count(*) * 100 AS Rate
+              FROM dispense WHERE TotalRepeats >= 2 AND PatPharmSysID IS NOT NULL
+              GROUP BY StoreId, Drugname)
+        WHERE TotalPatients >= 10
+        QUALIFY row_number() OVER (PARTITION BY StoreId
+            ORDER BY Rate DESC, TotalPatients DESC, Drugname NULLS FIRST) <= 15""",
     "chronic_medications": """
         SELECT Drugname, count(DISTINCT PatPharmSysID) AS TotalPatients, count(*) AS TotalDispenses,
                round(avg(CAST(TotalRepeats AS DOUBLE)), 6) AS AvgTotalRepeats,

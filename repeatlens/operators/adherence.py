@@ -172,6 +172,7 @@ def medication_gaps(
     drug: str | None = None,
     min_repeats: int = 2,
     n: int | None = 20,
+    by_store: bool = False,
 ) -> DataFrame:
     """Scripts that have not reached their last repeat, most missed fills first.
 
@@ -179,10 +180,10 @@ def medication_gaps(
     repeat was dispensed more than once.
     """
     rows = _rows(dispense, as_of, days, store_id, drug, min_repeats, "OriginalScriptNumber")
-    return rank_gaps(script_fills(rows), n)
+    return rank_gaps(script_fills(rows), n, by_store)
 
 
-def rank_gaps(fills: DataFrame, n: int | None = 20) -> DataFrame:
+def rank_gaps(fills: DataFrame, n: int | None = 20, by_store: bool = False) -> DataFrame:
     gaps = fills.where(F.col("HighestRepeatNo") < F.col("TotalRepeats")).select(
         "PatPharmSysID",
         "OriginalScriptNumber",
@@ -201,7 +202,7 @@ def rank_gaps(fills: DataFrame, n: int | None = 20) -> DataFrame:
         F.col("Drugname").asc_nulls_first(),
         F.col("StoreId").asc_nulls_first(),
     ]
-    return gaps if n is None else top_rows(gaps, n, order)
+    return gaps if n is None else top_rows(gaps, n, order, per_store(by_store) or None)
 
 
 def chronic_medications(

@@ -147,6 +147,22 @@ def test_one_store_equals_the_filtered_whole(dispense):
         assert Counter(whole.collect()) == Counter(single.collect())
 
 
+@pytest.mark.parametrize(
+    "operator",
+    [adherence.medication_gaps, adherence.medication_compliance, adherence.adherence_summary],
+)
+def test_by_store_equals_one_call_per_store(dispense, operator):
+    whole = rows_of(operator(dispense, CLOCK, by_store=True))
+    for store in (1, 2, 3):
+        single = rows_of(operator(dispense, CLOCK, store_id=store))
+        mine = [{k: v for k, v in r.items() if k in single[0]} for r in whole if r["StoreId"] == store]
+        assert [approximate(r) for r in mine] == [approximate(r) for r in single]
+
+
+def approximate(row):
+    return {k: round(v, 9) if isinstance(v, float) else v for k, v in row.items()}
+
+
 def expected_positions(rows, group, order):
     """Positions by sorting each group in Python."""
     grouped = defaultdict(list)
