@@ -7,7 +7,8 @@ as a table in the folder all executors share (``keep="table"``; it is written
 when the bundle is made and stays until that folder is cleared). Persisting suits
 the volume and refill bundles, whose shared part is small at any scale; the script
 table of the adherence bundle grows with the data and is better kept as a table
-when it exceeds the executors' storage.
+when it exceeds the executors' storage. With ``keep="lazy"`` nothing is kept: right
+when only one or two panels are wanted.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from ..sources.tables import Tables
 
 KEEP_PERSISTED = "persist"
 KEEP_TABLE = "table"
+KEEP_NOTHING = "lazy"
 
 
 def _kept(df: DataFrame, keep: str) -> DataFrame:
@@ -33,7 +35,11 @@ def _kept(df: DataFrame, keep: str) -> DataFrame:
         return save_table(df, shared_folder(df.sparkSession, "report"))
     if keep == KEEP_PERSISTED:
         return df.persist()
-    raise ValueError(f"keep is {KEEP_PERSISTED!r} or {KEEP_TABLE!r}, not {keep!r}")
+    if keep == KEEP_NOTHING:
+        return df
+    raise ValueError(
+        f"keep is {KEEP_PERSISTED!r}, {KEEP_TABLE!r} or {KEEP_NOTHING!r}, not {keep!r}"
+    )
 
 
 class Report:

@@ -206,6 +206,7 @@ def same(a, b):
         {"store_id": 2, "days": 45},
         {"schedule": "S8", "store_id": 1},
         {"days": 10, "keep": "table"},
+        {"days": 90, "keep": "lazy"},
     ],
 )
 def test_analytics_report_equals_its_operators(spark, dispense, args):
