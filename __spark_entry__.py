@@ -34,6 +34,11 @@ from repeatlens.sources import export  # noqa: E402
 from repeatlens.sources.sample import DISPENSE_CLOCK, EVENT_CLOCK, sample_tables  # noqa: E402
 from repeatlens.sources.tables import Tables, run_sql  # noqa: E402
 
+try:  # the text operators are an optional part
+    from repeatlens.llm import queries as text_queries  # noqa: E402
+except ImportError:
+    text_queries = None
+
 # The refill list looks a month ahead here, which fills every urgency class.
 REFILL_DAYS = 30
 
@@ -238,8 +243,13 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     registered = {key: _query(build) for key, build in _QUERIES.items()}
     registered |= {key: _session_query(build) for key, build in _SESSION_QUERIES.items()}
+    if text_queries is not None:
+        registered |= text_queries.QUERIES
     return registered
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    checks = oracles.all_sql()
+    if text_queries is not None:
+        checks |= text_queries.ORACLE_SQL
+    return checks
