@@ -11,12 +11,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import bpe, token_counts
+from repeatlens.llm import bpe, order_minhash, secrets, token_counts
 from repeatlens.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_transducer, op5_token_counts)
+    f.__name__: f for f in (op1_order_minhash, op2_bpe_transducer, op5_token_counts, op9_secret_scan)
 }
