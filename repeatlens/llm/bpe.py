@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatlens.llm.common import texts
+from repeatlens.llm.common import map_arrow, texts
 from repeatlens.llm.latin import is_latin, spelled
 
 BLOCK_CHARS = 1 << 16
@@ -322,8 +322,8 @@ def bpe_digests(
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(
+        texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
@@ -342,7 +342,7 @@ def bpe_encode(
                 names=["doc_id", "token_ids"],
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, token_ids array<int>")
+    return map_arrow(texts(docs, id_col, text_col), run, "doc_id long, token_ids array<int>")
 
 
 def bpe_decode(
@@ -364,7 +364,7 @@ def bpe_decode(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{ids_col}`").cast("array<int>").alias("token_ids"),
     )
-    return rows.mapInArrow(run, "doc_id long, decoded string")
+    return map_arrow(rows, run, "doc_id long, decoded string")
 
 
 def _shared(df: DataFrame, path: str):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +45,18 @@ def settled(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         )
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` for functions of this package, whose code Spark sends to the executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="code-"), os.path.basename(package))
+        root, name = os.path.split(package)
+        sc.addPyFile(shutil.make_archive(target, "zip", root, name))
+        _SHIPPED.add(sc.applicationId)
+    return df.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from repeatlens.llm import bpe, order_minhash, secrets, token_counts
+from repeatlens.llm import bpe, near_dups, order_minhash, secrets, token_counts
 from repeatlens.llm.common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -33,10 +33,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_order_minhash, op2_bpe_transducer, op5_token_counts, op9_secret_scan)
+    f.__name__: f for f in (op1_order_minhash, op2_bpe_transducer, op5_token_counts, op7_minhash_near_dups, op9_secret_scan)
 }

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatlens.llm.common import texts
+from repeatlens.llm.common import map_arrow, texts
 from repeatlens.llm.latin import is_latin, spelled
 
 # Fixed value: how byte-level BPE files of this family split text before merging.
@@ -120,5 +120,5 @@ def count_tokens(
     rows = texts(docs, id_col, text_col).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text"
     )
-    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
