@@ -44,8 +44,10 @@ def _all_masked(tokens: str) -> str:
 def _seeds(rows: DataFrame, key: str) -> DataFrame:
     """(key, p, h): masked hashes with their token positions."""
     hashed = rows.withColumn("all", F.expr(_all_masked("tokens"))).withColumn("n", F.size("tokens"))
+    # The outer form: for the plain one a filter on the array's size would be inferred and
+    # moved below the tokens, which would then be computed anew for each position.
     return (
-        hashed.select(key, "n", F.posexplode("all").alias("p", "h"))
+        hashed.select(key, "n", F.posexplode_outer("all").alias("p", "h"))
         .filter(F.col("h").isNotNull())
         .select(key, F.expr("p % n").alias("p"), "h")
     )
@@ -107,12 +109,11 @@ def contaminated_pairs(
     ).withColumn("width", F.least("length", F.lit(WINDOW)))
     both = both.select("doc_id", "item_id", "from_doc", "from_item", "length", "width", "same")
     best = F.expr(
-        "array_max(transform(sequence(0, length - width), s -> struct("
+        "array_max(transform(slice(same, 1, length - width + 1), (y, s) -> struct("
         "aggregate(slice(same, s + 1, width), 0, (a, x) -> a + x) AS matched, -s AS s)))"
     )
-    scored = both.withColumn("best", best).filter(
-        F.col("best.matched") >= F.ceil(F.col("width") * share)
-    )
+    # The threshold comes after the aggregate, below which it would be computed twice.
+    scored = both.withColumn("best", best)
     found = scored.groupBy("doc_id", "item_id").agg(
         F.max(
             F.struct(
@@ -123,7 +124,7 @@ def contaminated_pairs(
                 F.col("width").alias("compared"),
             )
         ).alias("top")
-    )
+    ).filter(F.col("top.matched") >= F.ceil(F.col("top.compared") * share))
     return found.select(
         "doc_id",
         "item_id",
