@@ -367,6 +367,28 @@ def bpe_decode(
     return map_arrow(rows, run, "doc_id long, decoded string")
 
 
+def bpe_round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, token_ids, n_tokens and ``decoded``, the text of the tokens; null texts give
+    an empty array and an empty text."""
+    spec, key = _shared(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _machines(key, spec.value, False)
+        for part in _parts(batches):
+            ids = [encoder.encode(t) for t in part.column(1).to_pylist()]
+            out = [decoder.feed(i) + decoder.finish() for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(out, pa.string())],
+                names=["doc_id", "token_ids", "n_tokens", "decoded"],
+            )
+
+    return map_arrow(
+        texts(docs, id_col, text_col), run, "doc_id long, token_ids array<int>, n_tokens long, decoded string"
+    )
+
+
 def _shared(df: DataFrame, path: str):
     spec = open(path, encoding="utf-8").read()
     return df.sparkSession.sparkContext.broadcast(spec), hash(spec)

@@ -9,10 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-
-from repeatlens.llm import bpe, near_dups, order_minhash, secrets, token_counts
-from repeatlens.llm.common import table
+from pyspark.sql import functions as F
+
+from repeatlens.llm import (
+    bpe,
+    decontamination,
+    line_dedup,
+    near_dups,
+    order_minhash,
+    secrets,
+    token_counts,
+    toxicity,
+)
+from repeatlens.llm.common import held_out, table
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -27,6 +38,12 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -37,10 +54,41 @@ def op7_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.toxicity_scores(docs, model), 0.5)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text"
+    )
+
+
+def _predicted(scores: DataFrame, limit: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_order_minhash, op2_bpe_transducer, op5_token_counts, op7_minhash_near_dups, op9_secret_scan)
-}
+    f.__name__: f
+    for f in (
+        op1_order_minhash,
+        op2_bpe_transducer,
+        op4_decontamination,
+        op5_token_counts,
+        op7_minhash_near_dups,
+        op8_toxicity,
+        op9_secret_scan,
+        op10_line_dedup,
+    )
+} | {"pipeline": corpus_pipeline.run}
