@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import sentencepiece
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,16 @@ from pyspark.sql import functions as F
 from repeatlens.llm import (
     bpe,
     decontamination,
+    language_id,
     line_dedup,
     near_dups,
     order_minhash,
+    quality,
     secrets,
     token_counts,
     toxicity,
 )
-from repeatlens.llm.common import held_out, table
+from repeatlens.llm.common import held_out, settled, table
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -38,6 +41,12 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = settled(quality.document_statistics(table(spark, sf_dir, "documents")))
+    model = quality.fit(measured, table(spark, sf_dir, "labels"))
+    return _predicted(quality.scores(measured, model), 0.3)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -50,6 +59,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    known = sentencepiece.SentencePieceProcessor(model_file=file)
+    model = language_id.fit(docs, [known.id_to_piece(i) for i in range(known.get_piece_size())])
+    return language_id.predict(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -84,8 +103,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_order_minhash,
         op2_bpe_transducer,
+        op3_quality,
         op4_decontamination,
         op5_token_counts,
+        op6_language_id,
         op7_minhash_near_dups,
         op8_toxicity,
         op9_secret_scan,
