@@ -12,8 +12,9 @@ only classes are compared. Bands of four coordinates put classes into buckets. W
 bucket only some pairs are needed, since links are for components: first every member is
 verified against one member of each of its buckets, a different one in every bucket (stars);
 then, in buckets that still hold several components, the members outside the bucket's
-largest component are verified against all members of other components. So a link between
-two members of a bucket is found or implied. At a similarity of 0.8 two classes share none
+largest component are verified against members of other components with which they share
+one of their rarest shingles, as linked sets must. So a link between two members of a
+bucket is found or implied. At a similarity of 0.8 two classes share none
 of the 32 buckets with a chance of (1 - 0.8^4)^32 = 5e-8.
 """
 
@@ -137,24 +138,31 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and set (array of long) of the rows whose set has the digest they name."""
+    """id, set (array of long) and parity of the rows whose set has the digest they name.
+
+    The parity has a bit for each of 512 parts of the items: whether an odd number is there.
+    Bits in which two parities differ cannot outnumber the items in which the sets differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids, sets = [], []
+                ids, sets, parities = [], [], []
                 for i, text, digest in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     values = shingle_set(text, shingle)
                     if _digest(values) == digest:
                         ids.append(i)
                         sets.append(values.view(np.int64))
+                        parts = np.bincount((values >> _U(40)).astype(np.int64) % 512, minlength=512)
+                        parities.append(np.packbits((parts & 1).astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["id", "items"],
+                    [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                    names=["id", "items", "parity"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text", "digest"), run, "id long, items array<long>")
+    schema = "id long, items array<long>, parity array<long>"
+    return map_arrow(docs.select("doc_id", "text", "digest"), run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,6 +175,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * union).select("a", "b")
 
 
+def _prefixes(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The open classes with the items by which a link between them must show.
+
+    A link needs an intersection of percent / (100 + percent) of both sizes, and no partner
+    is smaller than ``smallest`` or than percent of the set. So two linked sets share an item
+    among the rarest n - needed + 1 of each, rarest counted over the open classes (prefix
+    filter). Items that one class alone has take their places in it but join nothing: heavily
+    edited copies of one text, of which a bucket may hold many, are not paired at all.
+    """
+    ids = open_classes.select(F.col("class").alias("id"))
+    parities = sets.select(F.col("id").alias("class"), "parity")
+    items = settled(sets.join(ids, "id").select("id", F.explode_outer("items").alias("item")))
+    rarity = settled(items.groupBy("item").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    listed = items.join(rarity, "item").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("m", "item"))).alias("common")
+    )
+    joined = open_classes.join(listed.withColumnRenamed("id", "class"), "class").join(parities, "class")
+    least = F.greatest(F.col("smallest"), F.ceil(F.col("n") * percent / 100))
+    needed = F.ceil((F.col("n") + least) * percent / (100 + percent))
+    take = F.size("common") - needed + 1  # own items come first and are left out
+    cut = joined.withColumn("take", take).filter("take > 0")
+    columns = ["class", "n", "component", "outside", "parity"]
+    return cut.select(
+        *columns, F.explode_outer(F.expr("slice(common, 1, take)")).alias("i")
+    ).select(*columns, "i.item")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,22 +262,39 @@ def near_duplicates(
         "bucket", "class", "n", F.coalesce("component", "class").alias("component")
     )
     apart = settled(apart)
-    parts = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    parts = apart.groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("m"), F.min("n").alias("smallest")
+    )
     mixed = settled(
         parts.groupBy("bucket")
-        .agg(F.max_by("component", F.col("m")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        .agg(
+            F.max_by("component", F.col("m")).alias("main"),
+            F.min("smallest").alias("smallest"),
+            F.count(F.lit(1)).alias("parts"),
+        )
         .filter("parts > 1")
-        .select("bucket", "main")
+        .drop("parts")
     )
     open_rows = settled(apart.join(mixed, "bucket"))
+    x = open_rows.withColumn("outside", F.col("component") != F.col("main")).groupBy("class").agg(
+        F.first("n").alias("n"),
+        F.first("component").alias("component"),
+        F.max("outside").alias("outside"),
+        F.min("smallest").alias("smallest"),
+    )
+    prefixes = settled(_prefixes(settled(x), sets, percent))
+    side = F.struct("class", "n", "component", "parity")
+    sizes = F.col("x.n") + F.col("y.n")
+    differ = F.expr(" + ".join(f"bit_count(get(x.parity, {i}) ^ get(y.parity, {i}))" for i in range(8)))
     across = (
-        open_rows.filter("component != main")
-        .select("bucket", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        .join(open_rows.select("bucket", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy")), "bucket")
-        .filter("cx != cy")
-        # Sizes alone rule out pairs of unlike length.
-        .filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        prefixes.filter("outside")
+        .select("item", side.alias("x"))
+        .join(prefixes.select("item", side.alias("y")), "item")
+        .filter("x.component != y.component")
+        .filter(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        # Linked sets differ in at most so many items.
+        .filter((100 + percent) * (sizes - differ) >= 2 * percent * sizes)
+        .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
