@@ -32,7 +32,7 @@ from repeatlens.operators import (  # noqa: E402
 from repeatlens.plans import reports  # noqa: E402
 from repeatlens.sources import export  # noqa: E402
 from repeatlens.sources.sample import DISPENSE_CLOCK, EVENT_CLOCK, sample_tables  # noqa: E402
-from repeatlens.sources.tables import Tables, run_sql  # noqa: E402
+from repeatlens.sources.tables import Tables, load_tables, run_sql  # noqa: E402
 
 try:  # the text operators are an optional part
     from repeatlens.llm import queries as text_queries  # noqa: E402
@@ -76,12 +76,14 @@ def _exported(t: Tables, spark: SparkSession) -> DataFrame:
 
 def _sql_by_parameters(t: Tables, spark: SparkSession) -> DataFrame:
     t.register(["sales"])
-    return run_sql(
+    result = run_sql(
         spark,
         "SELECT StoreId, count(*) AS TotalSales FROM sales"
         " WHERE SalesDate >= :since GROUP BY StoreId",
         since="1998-01-01",
     )
+    spark.catalog.dropTempView("sales")
+    return result
 
 
 def _counted_tables(t: Tables) -> dict[str, DataFrame]:
@@ -220,9 +222,70 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "table_profile": lambda t: reports.profile_lines(t.dispense, "DispensedDate", "StoreId"),
 }
 
+# Report page -> its panels, and the key whose statement checks each of them.
+_REPORTS: dict[str, tuple[Callable[[Tables], reports.Report], dict[str, str]]] = {
+    "analytics": (
+        lambda t: reports.analytics_report(t, _D),
+        {
+            "summary": "dispense_summary",
+            "patients": "patient_total",
+            "daily_trend": "daily_trend",
+            "top_drugs": "top_drugs",
+            "schedule_mix": "schedule_mix",
+            "gender_mix": "gender_mix",
+            "stores": "store_filter_options",
+            "schedules": "schedule_options",
+        },
+    ),
+    "analytics_90_days": (
+        lambda t: reports.analytics_report(t, _D, days=90),
+        {"store_ranking": "store_ranking"},
+    ),
+    "adherence": (
+        lambda t: reports.adherence_report(t, _D),
+        {
+            "summary": "adherence_summary",
+            "medication_compliance": "medication_compliance",
+            "compliance_by_repeat": "compliance_by_repeat",
+            "medication_gaps": "medication_gaps",
+            "chronic_medications": "chronic_medications",
+            "store_activity": "store_activity",
+        },
+    ),
+    "refill": (
+        lambda t: reports.refill_report(t, _D, REFILL_DAYS),
+        {"predictions": "refill_predictions", "summary": "refill_summary", "store": "store_contacts"},
+    ),
+    "profile": (
+        lambda t: reports.table_profile(t.dispense, "DispensedDate", "StoreId"),
+        {"columns": "column_profile", "coverage": "date_coverage", "keys": "dispenses_per_store"},
+    ),
+}
+
+
+def _panel(build: Callable[[Tables], reports.Report], name: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: build(t)[name]
+
+
+def _panels() -> dict[str, tuple[Callable[[Tables], DataFrame], str]]:
+    return {
+        f"{page}_report_{panel}": (_panel(build, panel), check)
+        for page, (build, checks) in _REPORTS.items()
+        for panel, check in checks.items()
+    }
+
+
+def _stored(t: Tables, spark: SparkSession) -> DataFrame:
+    """The last sale of every store, from a table that was stored and loaded again."""
+    folder = export.shared_folder(spark, "tables")
+    export.save_table(t.sales, f"{folder}/sales.parquet")
+    return monitoring.last_sale(load_tables(spark, folder).sales)
+
+
 # The same for results that also need the session.
 _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "export_refills_csv": _exported,
+    "load_tables": _stored,
     "run_sql": _sql_by_parameters,
 }
 
@@ -243,6 +306,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     registered = {key: _query(build) for key, build in _QUERIES.items()}
     registered |= {key: _session_query(build) for key, build in _SESSION_QUERIES.items()}
+    registered |= {key: _query(build) for key, (build, _) in _panels().items()}
     if text_queries is not None:
         registered |= text_queries.QUERIES
     return registered
@@ -250,6 +314,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     checks = oracles.all_sql()
+    checks["load_tables"] = checks["last_sale"]
+    checks |= {key: checks[check] for key, (_, check) in _panels().items()}
     if text_queries is not None:
         checks |= text_queries.ORACLE_SQL
     return checks

@@ -26,9 +26,9 @@ TABLES = {
                CAST(l_extendedprice AS VARCHAR) AS DrugVal,
                p_retailprice AS PatientPrice
         FROM lineitem
-        JOIN orders ON l_orderkey = o_orderkey
-        JOIN part ON p_partkey = o_orderkey % 200
-        WHERE l_shipdate <= DATE '2001-07-31'""",
+        JOIN (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS drug FROM orders)
+          ON l_orderkey = o_orderkey
+        JOIN part ON p_partkey = drug""",
     "stores": """
         SELECT CAST(CASE WHEN s_suppkey = 9 THEN -9 ELSE s_suppkey END AS INT) AS PharmacyID,
                CASE WHEN s_suppkey % 3 = 0 THEN 'CHEMIST Discount Centre ' || n_name ELSE s_name END AS CommercialName,

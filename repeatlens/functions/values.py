@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
-def total_amount(value: Column) -> Column:
-    """Sum of a money column as double.
+def amount(df: DataFrame, name: str) -> Column:
+    """A money column as a number: a declared decimal as it is, text and others as double."""
+    declared = isinstance(df.schema[name].dataType, DecimalType)
+    return F.col(name) if declared else F.col(name).cast("double")
 
-    The sum itself runs on decimals with four places (the resolution of a money
-    column), so it does not depend on the order in which tasks finish and a
-    recomputed partition cannot change the last digits.
-    """
-    return F.sum(value.cast("decimal(18,4)")).cast("double")
+
+def total_amount(df: DataFrame, name: str) -> Column:
+    """Sum of a money column as double. Decimals are summed exactly; doubles in the order in
+    which tasks finish, so that the last digits of a total may differ between runs."""
+    return F.sum(amount(df, name)).cast("double")
 
 
-def mean_amount(value: Column) -> Column:
+def mean_amount(df: DataFrame, name: str) -> Column:
     """Average of a money column as double; null when there is no value."""
-    return total_amount(value) / F.nullif(F.count(value), F.lit(0))
+    return total_amount(df, name) / F.nullif(F.count(F.col(name)), F.lit(0))
 
 
 def whole_average(value: Column) -> Column:

@@ -95,7 +95,8 @@ def user_permissions(
 ) -> DataFrame:
     """The permissions of each active user, or of one user.
 
-    The role side is put together first, so users are joined once.
+    Users are grouped by name first; permissions are put together for each set of roles
+    that occurs, and joined to the names once, so no row needs to be removed again.
     """
     people = users.where(F.col("StatusUDC") == ACTIVE_USER)
     if username is not None:
@@ -113,12 +114,18 @@ def user_permissions(
         .select("RoleID", "PermissionName", "PermissionDescription", "Module")
         .distinct()
     )
-    return (
-        people.select("Username", "RoleID")
+    names = people.groupBy("Username").agg(F.sort_array(F.collect_set("RoleID")).alias("_roles"))
+    of_set = (
+        names.select("_roles")
+        .distinct()
+        .select("_roles", F.explode("_roles").alias("RoleID"))
         .join(held, "RoleID")
-        .select("Username", "PermissionName", "PermissionDescription", "Module")
+        .select("_roles", "PermissionName", "PermissionDescription", "Module")
         .distinct()
     )
+    return names.join(of_set, "_roles").select(
+        "Username", "PermissionName", "PermissionDescription", "Module"
+    )
 
 
 def users_with_roles(users: DataFrame, roles: DataFrame) -> DataFrame:

@@ -274,5 +274,5 @@ def repeat_sequence(
         rows,
         ["StoreId", "PatPharmSysID", "OriginalScriptNumber"],
         ["RepeatNo", "DispensedDate", "Drugname", "TotalRepeats"],
-        slice_by=F.to_date("DispensedDate"),
+        [F.to_date("DispensedDate"), F.hour("DispensedDate"), F.minute("DispensedDate")],
     ).withColumnRenamed("_position", "ExpectedSequence")

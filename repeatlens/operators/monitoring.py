@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,24 +34,22 @@ def last_sale(sales: DataFrame, store_id=None) -> DataFrame:
 def last_dispense(dispense: DataFrame, store_id=None) -> DataFrame:
     """The newest dispense of every store and its number of dispenses.
 
-    The newest row is the largest struct of date, script and value, so row and
-    count come out of one partially combined aggregate.
+    Date and number come out of one hash aggregate, combined before the shuffle; only the
+    rows of a store's last moment are then compared for the newest one.
     """
-    newest = F.max(
-        F.struct("DispensedDate", "ScriptNo", "DrugVal", "Drugname", "PatPharmSysID")
+    rows = present(for_store(dispense, store_id), "StoreId")
+    last = rows.groupBy(F.col("StoreId").alias("_store")).agg(
+        F.max("DispensedDate").alias("_last"), F.count("*").alias("TotalRecords")
     )
-    return (
-        present(for_store(dispense, store_id), "StoreId")
-        .groupBy("StoreId")
-        .agg(newest.alias("_row"), F.count("*").alias("TotalRecords"))
-        .select(
-            "StoreId",
-            time_text(F.col("_row.DispensedDate")).alias("LastDispenseDate"),
-            F.col("_row.ScriptNo").alias("ScriptNo"),
-            F.col("_row.Drugname").alias("Drugname"),
-            F.col("_row.PatPharmSysID").alias("PatPharmSysID"),
-            "TotalRecords",
-        )
+    at_last = (F.col("StoreId") == F.col("_store")) & F.col("DispensedDate").eqNullSafe(F.col("_last"))
+    order = [F.col(c).desc_nulls_last() for c in ("ScriptNo", "DrugVal", "Drugname", "PatPharmSysID")]
+    return first_per_group(rows.join(last, at_last), ["StoreId"], order).select(
+        "StoreId",
+        time_text(F.col("_last")).alias("LastDispenseDate"),
+        "ScriptNo",
+        "Drugname",
+        "PatPharmSysID",
+        "TotalRecords",
     )
 
 
@@ -218,10 +217,14 @@ DEFAULT_RULES = (
 
 
 def usable_regex(spark: SparkSession, pattern: str) -> bool:
-    """Whether Spark accepts the pattern. Tried on an empty text; reads no table."""
+    """Whether Spark accepts the pattern. Tried on an empty text; reads no table. A pattern
+    that does not compile is warned about; any other failure is raised."""
     try:
         spark.sql("SELECT rlike('', :pattern)", args={"pattern": pattern}).collect()
-    except PySparkException:
+    except PySparkException as failure:
+        if not (failure.getCondition() or "").startswith("INVALID_PARAMETER_VALUE"):
+            raise
+        warnings.warn(f"ignore rule left out, its pattern does not compile: {pattern}", stacklevel=2)
         return False
     return True
 

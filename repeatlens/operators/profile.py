@@ -15,17 +15,12 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, nullability, nulls, distinct values, smallest and largest value of
     every column. Columns hold plain values, no arrays, maps or structs.
 
-    Columns of one type become (column, value) rows, which are counted per value
-    before the shuffle: a value that fills a third of a column travels once per
-    task. Each type reads only its own columns, so a stored table is read once in
-    total; save a computed one first. ``approximate`` counts distinct values with
-    a sketch, which leaves one row per column and task to shuffle.
+    The table is read once: every row becomes (position, value) rows with one value column
+    for each data type, which are counted per value before the shuffle, so a value that
+    fills a third of a column travels once per task. ``approximate`` counts distinct values
+    with a sketch, which leaves one row per column and task to shuffle.
     """
     fields = df.schema.fields
-    by_type: dict[str, list[int]] = {}
-    for place, field in enumerate(fields):
-        by_type.setdefault(field.dataType.simpleString(), []).append(place)
-    measures = [_measures(df, places, approximate) for places in by_type.values()]
     heads = [
         F.struct(
             F.lit(place + 1).alias("position"),
@@ -36,9 +31,8 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         for place, field in enumerate(fields)
     ]
     listed = df.sparkSession.range(1).select(F.inline(F.array(*heads)))
-    counted = reduce(DataFrame.unionByName, measures)
     return (
-        listed.join(counted, "position", "left")
+        listed.join(_measures(df, approximate), "position", "left")
         .select(
             *listed.columns,
             F.coalesce("null_count", F.lit(0)).alias("null_count"),
@@ -50,24 +44,37 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
-def _measures(df: DataFrame, places: list[int], approximate: bool) -> DataFrame:
-    """Measures of columns that share a type, by position."""
-    cells = [
-        F.struct(F.lit(place + 1).alias("position"), F.col(f"`{df.columns[place]}`").alias("value"))
-        for place in places
-    ]
-    values = df.select(F.inline(F.array(*cells)))
-    value = F.col("value")
+def _measures(df: DataFrame, approximate: bool) -> DataFrame:
+    """Measures of all columns, by position."""
+    types = {field.dataType.simpleString(): field.dataType for field in df.schema.fields}
+    names = {kind: f"_value{k}" for k, kind in enumerate(types)}
+
+    def cell(place: int):
+        field = df.schema.fields[place]
+        own = field.dataType.simpleString()
+        return F.struct(
+            F.lit(place + 1).alias("position"),
+            *(
+                (F.col(f"`{field.name}`") if kind == own else F.lit(None).cast(types[kind])).alias(name)
+                for kind, name in names.items()
+            ),
+        )
+
+    values = df.select(F.inline(F.array(*(cell(k) for k in range(len(df.columns))))))
+    columns = [F.col(name) for name in names.values()]
+    missing = reduce(lambda a, b: a & b, (c.isNull() for c in columns))
     if approximate:
-        rows, distinct = F.lit(1), F.approx_count_distinct(value)
+        rows = F.lit(1)
+        distinct = reduce(lambda a, b: a + b, (F.approx_count_distinct(c) for c in columns))
     else:
-        values = values.groupBy("position", "value").agg(F.count("*").alias("rows"))
-        rows, distinct = F.col("rows"), F.count(value)
+        values = values.groupBy("position", *columns).agg(F.count("*").alias("rows"))
+        rows = F.col("rows")
+        distinct = F.count(F.when(~missing, 1))
     return values.groupBy("position").agg(
-        F.sum(F.when(value.isNull(), rows).otherwise(0)).cast("long").alias("null_count"),
+        F.sum(F.when(missing, rows).otherwise(0)).cast("long").alias("null_count"),
         distinct.alias("distinct_count"),
-        F.min(value).cast("string").alias("min_value"),
-        F.max(value).cast("string").alias("max_value"),
+        F.coalesce(*(F.min(c).cast("string") for c in columns)).alias("min_value"),
+        F.coalesce(*(F.max(c).cast("string") for c in columns)).alias("max_value"),
     )
 
 

@@ -33,91 +33,55 @@ def top_rows(df: DataFrame, n: int, order: list[Column], per: list[str] | None =
     return df.orderBy(*order).limit(n)
 
 
-# A group with more rows than this is numbered in pieces.
-HOT_ROWS = 1_000_000
+# Copies of a row are written out in runs of at most this many.
+CHUNK = 100_000
 
 
 def number_rows(
-    df: DataFrame,
-    group: list[str],
-    order: list[str],
-    slice_by: Column,
-    hot_rows: int = HOT_ROWS,
-    chunk: int = 100_000,
+    df: DataFrame, group: list[str], order: list[str], steps: list[Column]
 ) -> DataFrame:
     """1-based position of every row in its group, for groups of any size.
 
-    ``df`` is cut down to ``group`` and ``order`` columns. Groups of ordinary size
-    take a plain ``row_number``, which sorts a group inside one task. Groups with
-    more than ``hot_rows`` rows are numbered in pieces by :func:`number_copies`.
+    ``df`` is cut down to ``group`` and ``order`` columns; ``group`` columns must not be
+    null. ``steps`` go from coarse to fine and must follow the order of the columns after
+    the first: a day, its hour, its minute. No task sorts more than one of the finest
+    slices, or the slices of one next coarser step:
 
-    The hot groups are found by a count that is combined before the shuffle. There
-    are at most (rows / ``hot_rows``) of them, whatever the data, which is what
-    makes broadcasting their keys safe. ``group`` columns must not be null.
-    """
-    rows = df.select(*group, *order)
-    hot = (
-        rows.groupBy(*group)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*group)
-    )
-    in_order = [F.col(name).asc_nulls_first() for name in order]
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*in_order))
-    plain = rows.join(F.broadcast(hot), group, "left_anti").withColumn(
-        "_position", rank.cast("long")
-    )
-    pieces = number_copies(
-        rows.join(F.broadcast(hot), group, "left_semi"), group, order, slice_by, chunk
-    )
-    return plain.unionByName(pieces)
-
-
-def number_copies(
-    df: DataFrame, group: list[str], order: list[str], slice_by: Column, chunk: int = 100_000
-) -> DataFrame:
-    """Positions as in :func:`number_rows` without ever sorting a group in one task.
-
-    * Rows that agree in all columns are counted before the shuffle and written
-      out again at the end, in chunks of at most ``chunk`` rows.
-    * Positions are summed in two steps: inside a slice (leading order column and
-      ``slice_by``, which must not break the order), then over the slice sizes.
+    * Rows that agree in all columns are counted before the shuffle and written out again
+      at the end, in runs that are spread over the cluster.
+    * The first position of a slice is that of the slice around it plus the sizes of its
+      earlier neighbours, step by step; inside the finest slices rows are summed.
 
-    Nothing depends on task or partition numbers, so a recomputed partition gives
-    the same positions.
+    Nothing depends on task or partition numbers, so a recomputed partition gives the same
+    positions.
     """
-    lead = order[0]
-    copies = (
-        df.groupBy(*group, *order)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_slice", F.struct(F.col(lead).alias("lead"), slice_by.alias("step")))
-    )
+    copies = df.groupBy(*group, *order).agg(F.count("*").alias("_n"))
+    names = [*group, "_lead", *(f"_step{k}" for k in range(len(steps)))]
+    copies = copies.withColumn("_lead", F.col(order[0]))
+    copies = copies.withColumns(dict(zip(names[len(group) + 1 :], steps, strict=True)))
+    copies = copies.withColumns({n: F.struct(n) for n in names[len(group) :]})  # never null
+
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    starts = None
+    for depth in range(len(group), len(names)):
+        around, slice_ = names[:depth], names[depth]
+        before = F.sum("_size").over(earlier.partitionBy(*around).orderBy(slice_))
+        sizes = copies.groupBy(*around, slice_).agg(F.sum("_n").alias("_size"))
+        offset = sizes.select(*around, slice_, F.coalesce(before, F.lit(0)).alias("_offset"))
+        if starts is not None:
+            offset = offset.join(starts, around).withColumn(
+                "_offset", F.col("_offset") + F.col("_start")
+            )
+        starts = offset.select(*around, slice_, F.col("_offset").alias("_start"))
+
     in_order = [F.col(name).asc_nulls_first() for name in order]
-    inside = earlier.partitionBy(*group, "_slice").orderBy(*in_order)
-    across = earlier.partitionBy(*group).orderBy("_slice")
-    placed = copies.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    sizes = copies.groupBy(*group, "_slice").agg(F.sum("_n").alias("_size"))
-    starts = sizes.select(
-        *group, "_slice", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_start")
-    )
+    inside = F.sum("_n").over(earlier.partitionBy(*names).orderBy(*in_order))
+    placed = copies.withColumn("_inside", F.coalesce(inside, F.lit(0)))
     first = F.col("_start") + F.col("_inside") + 1
-    spans = placed.join(starts, [*group, "_slice"]).select(
+    spans = placed.join(starts, names).select(
         *group, *order, first.alias("_first"), (first + F.col("_n") - 1).alias("_last")
     )
-    return _write_out(spans, [*group, *order], chunk)
-
-
-def _write_out(spans: DataFrame, columns: list[str], chunk: int) -> DataFrame:
-    """One row per position of each span. Long spans are cut into chunks that are
-    spread over the cluster before they are written out."""
-    is_long = F.col("_last") - F.col("_first") >= chunk
-    chunk_first = F.explode(F.sequence("_first", "_last", F.lit(chunk).cast("long")))
-    chunks = (
-        spans.where(is_long)
-        .select(*columns, "_last", chunk_first.alias("_first"))
-        .withColumn("_last", F.least(F.col("_last"), F.col("_first") + chunk - 1))
-        .repartition(*columns, "_first")
-    )
-    position = F.explode(F.sequence("_first", "_last")).alias("_position")
-    return spans.where(~is_long).unionByName(chunks).select(*columns, position)
+    runs = spans.withColumn("_run", F.explode(F.sequence("_first", "_last", F.lit(CHUNK).cast("long"))))
+    runs = runs.repartition(*group, *order, "_run")
+    last = F.least(F.col("_last"), F.col("_run") + CHUNK - 1)
+    return runs.select(*group, *order, F.explode(F.sequence("_run", last)).alias("_position"))

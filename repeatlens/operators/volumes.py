@@ -34,7 +34,7 @@ def dispense_summary(
     rows = dispense_filter(dispense, as_of, days, store_id, schedule)
     return rows.groupBy(*per_store(by_store)).agg(
         F.count("*").alias("totalDispenses"),
-        or_zero(total_amount(F.col("DrugVal"))).alias("totalValue"),
+        or_zero(total_amount(rows, "DrugVal")).alias("totalValue"),
         F.countDistinct("StoreId").alias("totalStores"),
     )
 
@@ -81,8 +81,8 @@ def top_drugs(
         *keys, F.col("Drugname").alias("drugName"), F.col("BrandName").alias("brandName")
     ).agg(
         F.count("*").alias("totalDispensed"),
-        or_zero(total_amount(F.col("DrugVal"))).alias("totalValue"),
-        or_zero(mean_amount(F.col("PatientPrice"))).alias("avgPrice"),
+        or_zero(total_amount(rows, "DrugVal")).alias("totalValue"),
+        or_zero(mean_amount(rows, "PatientPrice")).alias("avgPrice"),
     )
     return ranked(totals, n, _most("totalDispensed", "drugName", "brandName"), keys)
 
@@ -129,7 +129,7 @@ def store_ranking(
     rows = present(dispense_filter(dispense, as_of, days, schedule=schedule), "StoreId")
     totals = rows.groupBy(F.col("StoreId").alias("storeId")).agg(
         F.count("*").alias("count"),
-        total_amount(F.col("DrugVal")).alias("totalValue"),
+        total_amount(rows, "DrugVal").alias("totalValue"),
     )
     return top_rows(totals, n, _most("count", "storeId"))
 

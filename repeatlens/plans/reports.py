@@ -1,14 +1,12 @@
 """Report bundles: all panels of a page, sharing what they have in common.
 
 Several panels read the same rows at different grain. Instead of one scan per
-panel, a bundle groups the fact table once to the finest grain its panels need
-and keeps that, either persisted (a lost executor means recomputing its part) or
-as a table in the folder all executors share (``keep="table"``; it is written
-when the bundle is made and stays until that folder is cleared). Persisting suits
-the volume and refill bundles, whose shared part is small at any scale; the script
-table of the adherence bundle grows with the data and is better kept as a table
-when it exceeds the executors' storage. With ``keep="lazy"`` nothing is kept: right
-when only one or two panels are wanted.
+panel, a bundle groups the fact table once to the finest grain its panels need. By
+default nothing is kept (``keep="lazy"``): right when one or two panels are wanted, and
+safe at any size. ``keep="table"`` writes that grain as a table to the folder all executors
+share; it stays until that folder is cleared. ``keep="persist"`` holds it in the executors'
+storage, which suits the volume and refill bundles, whose shared part follows the catalogue
+rather than the data; a lost executor means recomputing its part.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import Clock, since
-from ..functions.values import or_zero
+from ..functions.values import amount, or_zero
 from ..operators import adherence, profile, refills, stores, volumes
 from ..operators.filters import dispense_filter, for_store, present
 from ..operators.ranking import top_rows
@@ -74,7 +72,6 @@ def volume_cells(dispense: DataFrame, as_of: Clock, days: int | None, schedule)
     date = F.col("DispensedDate")
     selected = F.lit(True) if days is None else F.coalesce(since(date, as_of, days), F.lit(False))
     trend_day = F.when(since(date, as_of, volumes.TREND_DAYS), F.to_date(date))
-    price, value = F.col("PatientPrice"), F.col("DrugVal")
     return (
         dispense_filter(dispense, as_of, schedule=schedule)
         .groupBy(
@@ -87,9 +84,9 @@ def volume_cells(dispense: DataFrame, as_of: Clock, days: int | None, schedule)
         )
         .agg(
             F.count("*").alias("_rows"),
-            F.sum(value.cast("decimal(18,4)")).alias("_value"),
-            F.sum(price.cast("decimal(18,4)")).alias("_price"),
-            F.count(price).alias("_prices"),
+            F.sum(amount(dispense, "DrugVal")).alias("_value"),
+            F.sum(amount(dispense, "PatientPrice")).alias("_price"),
+            F.count("PatientPrice").alias("_prices"),
         )
     )
 
@@ -100,7 +97,7 @@ def analytics_report(
     days: int | None = None,
     store_id=None,
     schedule: str | None = None,
-    keep: str = KEEP_PERSISTED,
+    keep: str = KEEP_NOTHING,
 ) -> Report:
     """The nine panels of the volume page. Range, store and schedule filters reach
     the panels they apply to: the trend has its own range, the store ranking shows
@@ -159,7 +156,7 @@ def adherence_report(
     store_id=None,
     drug: str | None = None,
     min_repeats: int = 2,
-    keep: str = KEEP_PERSISTED,
+    keep: str = KEEP_NOTHING,
 ) -> Report:
     """The panels of the adherence page. Four of them come from one table of
     scripts; the repeat buckets and the store row read the dispenses."""
@@ -186,7 +183,7 @@ def adherence_report(
 
 
 def refill_report(
-    t: Tables, as_of: Clock, days: int = 3, store_id=None, keep: str = KEEP_PERSISTED
+    t: Tables, as_of: Clock, days: int = 3, store_id=None, keep: str = KEEP_NOTHING
 ) -> Report:
     """List, counts and store row of the refill page. List and counts share the due
     refills; the list leaves out those without a drug name."""

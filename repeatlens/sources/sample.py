@@ -32,9 +32,6 @@ TEST_SCHEMAS = {
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }
 
-# Orders name one of this many drugs; the part table holds at least as many at every scale.
-DRUGS = 200
-
 # The roles, by id from 1.
 ROLES = (
     ("Super Admin", "Full system access with all permissions"),
@@ -102,16 +99,13 @@ class _Source:
 
 
 def dispense(source) -> DataFrame:
-    """Dispenses up to the clock's day; later ones have not happened yet.
-
-    The drug table is cut to the ``DRUGS`` rows that can match. With the part key
-    unique that bounds its size, whatever the scale, so it may be broadcast.
-    """
-    lines = source("lineitem").where("l_shipdate <= TIMESTAMP_NTZ '2001-07-31 00:00:00'")
-    orders = source("orders").withColumn("_drug", F.expr(f"o_orderkey % {DRUGS}"))
-    drugs = source("part").where(f"p_partkey >= 0 AND p_partkey < {DRUGS}")
+    """All line items of an order. Part keys count from 0, and the order's key picks the
+    drug: one order is one script with one drug."""
+    lines, parts = source("lineitem"), source("part")
+    count = F.nullif(parts.select(F.count(F.lit(1))).scalar(), F.lit(0))
+    orders = source("orders").withColumn("_drug", F.col("o_orderkey") % count)
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        F.broadcast(drugs), F.col("_drug") == F.col("p_partkey")
+        parts, F.col("_drug") == F.col("p_partkey")
     )
     return joined.selectExpr(
         "CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS PatPharmSysID",

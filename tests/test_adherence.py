@@ -6,7 +6,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from repeatlens.operators import adherence
+from repeatlens.operators import adherence, ranking
 from repeatlens.operators.ranking import number_rows
 from tests.frames import CLOCK, dispense_row, frame, random_dispenses, rows_of
 
@@ -179,8 +179,13 @@ GROUP = ["StoreId", "PatPharmSysID", "OriginalScriptNumber"]
 ORDER = ["RepeatNo", "DispensedDate", "Drugname", "TotalRepeats"]
 
 
-@pytest.mark.parametrize("hot_rows, chunk", [(1_000_000, 100_000), (20, 100_000), (20, 7), (0, 1)])
-def test_positions_do_not_depend_on_how_groups_are_split(spark, hot_rows, chunk):
+STEPS = [f("DispensedDate") for f in (F.to_date, F.hour, F.minute)]
+
+
+@pytest.mark.parametrize("chunk", [100_000, 7, 1])
+@pytest.mark.parametrize("steps", [STEPS, STEPS[:1], []])
+def test_positions_do_not_depend_on_how_groups_are_split(spark, steps, chunk, monkeypatch):
+    monkeypatch.setattr(ranking, "CHUNK", chunk)
     rows = [r for r in random_dispenses(300, seed=9) if all(r[g] is not None for g in GROUP)]
     # A third of all rows are copies of one row, another part only shares its script.
     copy = dispense_row(RepeatNo=2, Drugname=None)
@@ -189,7 +194,7 @@ def test_positions_do_not_depend_on_how_groups_are_split(spark, hot_rows, chunk)
                           DispensedDate=CLOCK - timedelta(days=n % 5, hours=n % 7))
              for n in range(60)]
     df = frame(spark, "dispense", rows)
-    got = number_rows(df, GROUP, ORDER, F.to_date("DispensedDate"), hot_rows, chunk)
+    got = number_rows(df, GROUP, ORDER, steps)
     assert got.columns == [*GROUP, *ORDER, "_position"]
     assert Counter(tuple(r) for r in got.collect()) == expected_positions(rows, GROUP, ORDER)
     assert got.count() == len(rows)

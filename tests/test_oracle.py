@@ -15,10 +15,13 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(registry.queries()) == set(SQL)
+    own = set(registry.queries())
+    if registry.text_queries is not None:
+        own -= set(registry.text_queries.QUERIES)
+    assert own == set(SQL)
 
 
-@pytest.mark.parametrize("key", sorted(registry.queries()))
+@pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_sql(spark, con, key):
     df = registry.queries()[key](spark, SF_DIR)
     assert differences(df, con, SQL[key]) == []

@@ -30,7 +30,7 @@ def plan(df, mode="formatted") -> str:
     )
 
 
-@pytest.mark.parametrize("key", sorted(registry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.oracle_sql()))
 def test_no_products_and_no_python(spark, conf, key):
     # As if every table were too large to broadcast.
     conf(autoBroadcastJoinThreshold="-1")

@@ -1,6 +1,7 @@
 """Column helpers at their edges."""
 
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,16 +74,30 @@ def test_whole_average_cuts_toward_zero(spark, numbers, expected):
 
 def test_amounts(spark):
     df = spark.createDataFrame([("0.10",)] * 10 + [(None,)], "v STRING")
-    got = df.agg(values.total_amount(F.col("v")), values.mean_amount(F.col("v"))).first()
-    assert tuple(got) == (1.0, 0.1)
-    empty = df.where("false").agg(values.total_amount(F.col("v")), values.mean_amount(F.col("v")))
+    got = df.agg(values.total_amount(df, "v"), values.mean_amount(df, "v")).first()
+    assert tuple(got) == pytest.approx((1.0, 0.1))
+    empty = df.where("false").agg(values.total_amount(df, "v"), values.mean_amount(df, "v"))
     assert tuple(empty.first()) == (None, None)
 
 
+@pytest.mark.parametrize(
+    "rows, kind, total",
+    [
+        (["0.00004"] * 3, "STRING", 0.00012),
+        (["123456789012345678.0"], "STRING", 123456789012345678.0),
+        ([0.00004] * 3, "DOUBLE", 0.00012),
+        ([Decimal("0.000040")] * 3, "DECIMAL(20,6)", 0.00012),
+    ],
+)
+def test_amounts_keep_their_digits(spark, rows, kind, total):
+    df = spark.createDataFrame([(r,) for r in rows], f"v {kind}")
+    assert df.agg(values.total_amount(df, "v")).first()[0] == pytest.approx(total, rel=1e-12)
+
+
 def test_malformed_amount_fails(spark):
     df = spark.createDataFrame([("ten",)], "v STRING")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        df.agg(values.total_amount(F.col("v"))).collect()
+        df.agg(values.total_amount(df, "v")).collect()
 
 
 def test_flags(spark):
