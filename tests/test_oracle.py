@@ -29,4 +29,10 @@ def test_query_matches_sql(spark, con, key):
 
 
 def test_entry_runs(spark):
-    assert registry.entry(spark).count() == 49
+    rows = connect("/root/testdata/sf0.001").sql(SQL["refill_predictions"]).fetchall()
+    assert registry.entry(spark).count() == len(rows) > 0
+
+
+def test_all_urgency_classes_occur(con):
+    found = con.sql(f"SELECT DISTINCT Urgency FROM ({SQL['refill_predictions']})").fetchall()
+    assert len(found) == 6
