@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks.
 
-Lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk after about
-every second line, so boundaries depend on the lines around them and shift with inserted or
-deleted lines. A line of 50 words or more is a passage by itself and forms its own chunk.
-Chunks of several non-blank lines, and such passages, are compared across all documents:
+Lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk at about
+every second line, but not before it has two lines that are not blank. So boundaries depend
+on the lines around them and shift with inserted or deleted lines. A line of 50 words or more is a passage by itself and forms its own chunk.
+Chunks and such passages are compared across all documents:
 equal 128-bit digests propose, equal bytes decide. The first occurrence, by doc_id and then
 line, stays; the others go.
 """
@@ -40,15 +40,24 @@ def chunks(lines: list[str]) -> list[tuple[int, int, bytes]]:
     rolling ^= rolling >> np.uint64(29)
     ends = (rolling * _BASE >> np.uint64(32)) % np.uint64(DIVISOR) == 0
     ends[: WINDOW - 1] = False
-    long = words >= PASSAGE_WORDS
-    ends |= long
-    ends[:-1] |= long[1:]
-    ends[-1] = True
-    after = np.flatnonzero(ends) + 1
-    found = []
-    for a, b in zip([0, *after[:-1].tolist()], after.tolist(), strict=True):
-        if long[a] or np.count_nonzero(words[a:b]) > 1:
+    found, a, filled = [], 0, 0
+
+    def close(b: int) -> None:
+        if filled > 1 or (filled and words[a] >= PASSAGE_WORDS):
             found.append((a, b, xxhash.xxh3_128_digest(b"\n".join(data[a:b]))))
+
+    for i, (end, count) in enumerate(zip(ends.tolist(), words.tolist(), strict=True)):
+        if count >= PASSAGE_WORDS:  # a chunk of its own
+            close(i)
+            a, filled = i, 1
+            close(i + 1)
+            a, filled = i + 1, 0
+            continue
+        filled += count > 0
+        if end and filled > 1:  # no chunk of a single short line
+            close(i + 1)
+            a, filled = i + 1, 0
+    close(n)
     return found
 
 
