@@ -51,7 +51,10 @@ def test_isotonic_is_monotone_and_pooled():
     assert levels[2] == pytest.approx(6.1 / 20.2)  # bins 1 and 2 pooled
 
 
-def test_toxicity(docs, labels):
+def test_toxicity(spark):
+    # The larger tables: at SF only six toxic documents are held out, here 97.
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels)
     score = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, model).collect()}
     held = [(score[r["doc_id"]] >= 0.5, r["toxic"]) for r in labels.collect() if _held_out(r["doc_id"])]
