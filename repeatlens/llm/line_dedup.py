@@ -3,7 +3,9 @@
 Lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk at about
 every second line, but not before it has two lines that are not blank. So boundaries depend
 on the lines around them and shift with inserted or deleted lines. A line of 50 words or more is a passage by itself and forms its own chunk.
-Chunks and such passages are compared across all documents:
+Besides, every shortest run of lines that reaches 50 words is compared, from each line on and
+up to each line, wherever the chunks around it end. These runs cover each line of a longer one.
+Chunks and passages are compared across all documents:
 equal 128-bit digests propose, equal bytes decide. The first occurrence, by doc_id and then
 line, stays; the others go.
 """
@@ -29,10 +31,42 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunks(lines: list[str]) -> list[tuple[int, int, bytes]]:
-    """(first line, line after the last, digest) of the chunks that are compared."""
+    """(first line, line after the last, digest) of the chunks and passages that are compared,
+    without those that overlap the first equal one of the same lines."""
+    out, first = [], {}
+    for a, b, digest in _compared(lines):
+        if a == first.setdefault(digest, (a, b))[0] or a >= first[digest][1]:
+            out.append((a, b, digest))
+    return out
+
+
+def _compared(lines: list[str]) -> list[tuple[int, int, bytes]]:
     n = len(lines)
     data = [line.encode() for line in lines]
     words = np.fromiter((len(line.split()) for line in lines), np.int64, n)
+    found = sorted({*_defined(data, words), *_passages(words)})
+    whole = memoryview(b"\n".join(data))
+    at = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data]))).tolist()
+    return [(a, b, xxhash.xxh3_128_digest(whole[at[a] : at[b] - 1])) for a, b in found]
+
+
+def _passages(words: np.ndarray) -> list[tuple[int, int]]:
+    """The shortest runs that reach ``PASSAGE_WORDS``, from each line on and up to each line;
+    none starts or ends with a blank line."""
+    n, total = len(words), np.concatenate(([0], np.cumsum(words)))
+    some = np.flatnonzero(words)
+    to = np.searchsorted(total, total[some] + PASSAGE_WORDS)
+    since = np.searchsorted(total, total[some + 1] - PASSAGE_WORDS, "right") - 1
+    onward, upward = to <= n, since >= 0
+    return [
+        *zip(some[onward].tolist(), to[onward].tolist(), strict=True),
+        *zip(since[upward].tolist(), (some[upward] + 1).tolist(), strict=True),
+    ]
+
+
+def _defined(data: list[bytes], words: np.ndarray) -> list[tuple[int, int]]:
+    """The content-defined chunks."""
+    n = len(data)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, n)
     rolling = np.zeros(n, np.uint64)
     for k in range(WINDOW):
@@ -44,7 +78,7 @@ def chunks(lines: list[str]) -> list[tuple[int, int, bytes]]:
 
     def close(b: int) -> None:
         if filled > 1 or (filled and words[a] >= PASSAGE_WORDS):
-            found.append((a, b, xxhash.xxh3_128_digest(b"\n".join(data[a:b]))))
+            found.append((a, b))
 
     for i, (end, count) in enumerate(zip(ends.tolist(), words.tolist(), strict=True)):
         if count >= PASSAGE_WORDS:  # a chunk of its own
@@ -68,7 +102,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 ids, first, last, digests = [], [], [], []
                 for i, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for a, b, digest in chunks(text.split("\n")):
+                    for a, b, digest in _compared(text.split("\n")):
                         ids.append(i)
                         first.append(a)
                         last.append(b)
@@ -108,18 +142,69 @@ def _chunk_bytes(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", "spots"), run, schema)
 
 
+def _cover(spots: list[dict]) -> list[dict]:
+    """As few of the spots as cover the same lines as all of them."""
+    spots = sorted(spots, key=lambda s: (s["a"], -s["b"]))
+    out, end, k = [], 0, 0
+    while k < len(spots):
+        best = None
+        while k < len(spots) and spots[k]["a"] <= end:
+            if best is None or spots[k]["b"] > best["b"]:
+                best = spots[k]
+            k += 1
+        if best is not None and best["b"] > end:
+            out.append(best)
+            end = best["b"]
+        elif k < len(spots):
+            end = spots[k]["a"]
+    return out
+
+
+_SPOT = "a int, b int, digest binary, top_id long, top_a int, top_b int"
+
+
+def _covering(by_doc: DataFrame) -> DataFrame:
+    """(doc_id, spot) of the spots that ``_cover`` picks from each row's ``spots``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, picked = [], []
+                for i, spots in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    cover = _cover(spots)
+                    ids += [i] * len(cover)
+                    picked += cover
+                kind = part.schema.field(1).type.value_type
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(picked, kind)], names=["doc_id", "spot"])
+
+    return map_arrow(by_doc, run, f"doc_id long, spot struct<{_SPOT.replace(' ', ':').replace(',:', ',')}>")
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``gone``, an array of (a, b): the line ranges to remove from it."""
+    """doc_id and ``gone``, an array of (a, b): the line ranges to remove from it.
+
+    What overlaps its first occurrence, in lines that repeat each other, is no repeat of it.
+    """
     rows = texts(docs, id_col, text_col).filter("doc_id IS NOT NULL AND text != ''")
-    occurrences = settled(_occurrences(rows))
+    occurrences = _occurrences(rows)  # computed twice, which is less than storing them
     repeated = settled(
         occurrences.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "a")).alias("top"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "a", "b")).alias("top"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("digest", F.col("top.doc_id").alias("top_id"), F.col("top.a").alias("top_a"))
+        .select("digest", "top.doc_id", "top.a", "top.b")
+        .toDF("digest", "top_id", "top_a", "top_b")
+    )
+    repeats = occurrences.join(repeated, "digest").filter("NOT (doc_id = top_id AND a < top_b)")
+    spot = F.struct("a", "b", "digest", "top_id", "top_a", "top_b")
+    chosen = settled(
+        _covering(repeats.groupBy("doc_id").agg(F.collect_list(spot).alias("spots"))).select("doc_id", "spot.*")
     )
-    spots = occurrences.join(repeated, "digest").select(
-        "doc_id", "a", "b", "digest", F.expr("doc_id = top_id AND a = top_a").alias("first")
+    firsts = chosen.select(
+        F.col("top_id").alias("doc_id"), F.col("top_a").alias("a"), F.col("top_b").alias("b"), "digest"
+    ).distinct()
+    spots = chosen.select("doc_id", "a", "b", "digest", F.lit(False).alias("first")).union(
+        firsts.withColumn("first", F.lit(True))
     )
     by_doc = spots.groupBy("doc_id").agg(
         F.collect_list(F.struct("a", "b", "digest", "first")).alias("spots")

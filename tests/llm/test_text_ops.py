@@ -1,6 +1,7 @@
 """Fingerprints, secrets, decontamination and line dedup against brute force."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -150,6 +151,55 @@ def test_line_dedup(spark):
     assert got[21][1] >= 6 and got[23][0] == "new"
 
 
+def _shared_lines(rows):
+    """For each document the lines of runs of 50 words and more that an earlier one has too."""
+    out, before = {}, []
+    for i, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for other in before:
+            for d in range(-len(other), len(lines)):
+                run = []
+                for k in [*range(max(d, 0), min(len(lines), len(other) + d)), None]:
+                    if k is not None and lines[k] == other[k - d]:
+                        run.append(k)
+                        continue
+                    if sum(len(lines[x].split()) for x in run) >= 50:
+                        full = [x for x in run if lines[x].split()]
+                        gone |= set(range(full[0], full[-1] + 1))
+                    run = []
+        before.append(lines)
+        out[i] = gone
+    return out
+
+
+def test_line_dedup_finds_short_passages(spark):
+    r, rows, i = random.Random(4), [], 100
+    for n in [2, 3, 4, 5, 6] * 8:
+        length = [r.randint(-(-52 // n), 45) for _ in range(n)]
+        passage = [" ".join(f"w{r.random():.9f}" for _ in range(k)) for k in length]
+        if n == 3:
+            passage.insert(1, "")
+        if n == 4:
+            passage += ["the short end"]
+        for _ in range(2):
+            own = [[f"own {r.random()} of {i} " + "x " * r.randint(0, 20) for _ in range(r.randint(1, 4))] for _ in range(2)]
+            rows.append((i, "\n".join(own[0] + passage + own[1])))
+            i += 1
+    want = _shared_lines(rows)
+    assert sum(map(bool, want.values())) == 40
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+
+
+def test_line_dedup_keeps_the_first_of_overlapping_repeats(spark):
+    line = "ten words that come again and again in one text"
+    rows = [(1, "\n".join([line] * 23)), (2, "\n".join(["start", *[line] * 8, "end"]))]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    kept = got[1].split("\n")
+    assert set(kept) == {line} and 5 <= len(kept) < 10
+    assert got[2] == "start\nend"
+
+
 def test_line_dedup_of_awkward_rows(spark):
     docs = frame(spark, AWKWARD)
     out = line_dedup.dedup_lines(docs)
