@@ -1,6 +1,7 @@
 """Fingerprints, secrets, decontamination and line dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -151,6 +152,42 @@ def test_line_dedup(spark):
     assert got[21][1] >= 6 and got[23][0] == "new"
 
 
+def _edited(words, allowed):
+    """The words with every choice of that many substitutions."""
+    for places in itertools.combinations(range(len(words)), allowed):
+        yield ["other" if k in places else w for k, w in enumerate(words)]
+
+
+ALLOWED = {n: n - -(-n * 4 // 5) for n in range(8, 17)}
+
+
+def test_contamination_under_all_substitutions(spark):
+    filler = [f"own{k}" for k in range(30)]
+    docs, items, want = [], [], set()
+    for n, allowed in ALLOWED.items():
+        item = [f"t{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for words in _edited(item, allowed):
+            docs.append((len(docs), " ".join(filler + words + filler)))
+            want.add((docs[-1][0], n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated_pairs(frame(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_contamination_at_the_ends_under_all_substitutions(spark):
+    item, filler, docs = [f"t{k}" for k in range(40)], [f"own{k}" for k in range(30)], []
+    for n, allowed in ALLOWED.items():
+        docs += [filler + words for words in _edited(item[:n], allowed)]
+        docs += [words + filler for words in _edited(item[-n:], allowed)]
+        docs += _edited(item[9 : 9 + n], allowed)
+    docs.append(filler + ["other" if k % 5 == 2 else w for k, w in enumerate(item)] + filler)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(k, " ".join(words)) for k, words in enumerate(docs)]
+    got = decontamination.contaminated_pairs(frame(spark, rows), bench).collect()
+    assert {r["doc_id"] for r in got} == set(range(len(docs)))
+
+
 def _shared_lines(rows):
     """For each document the lines of runs of 50 words and more that an earlier one has too."""
     out, before = {}, []
