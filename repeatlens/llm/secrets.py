@@ -4,8 +4,9 @@ Positions come from built-in functions alone. ``split`` gives the gaps between t
 matches of a pattern and ``regexp_extract_all`` the matches; exploded in order, running
 sums of their lengths are the code point offsets. Weak candidates (identifiers, mixed
 random strings, endpoints) are joined as intervals with complementary parts: within one
-scope, a paragraph, and ``reach`` code points of each other. The interval join is a range
-window over (document, scope): every part sees the parts around it, no pairs are made.
+scope, a paragraph, and at most ``reach`` code points from the end of one to the start of the
+other. The interval join is a pair of windows over (document, scope): every part sees the
+largest end before it and the smallest start behind it, no pairs are made.
 """
 
 from __future__ import annotations
@@ -121,12 +122,17 @@ def secret_spans(
             "covered": F.max(F.when(is_base, F.col("end"))).over(so_far),
         }
     )
-    near = Window.partitionBy("row", "scope").orderBy("start").rangeBetween(-reach, reach)
+    # Both frames hold the parts of equal start; a frame to the last row would be quadratic.
+    inside, frame = Window.partitionBy("row", "scope"), (Window.unboundedPreceding, Window.currentRow)
+    before = inside.orderBy("start").rangeBetween(*frame)
+    behind = inside.orderBy(F.desc("start")).rangeBetween(*frame)
     covered = F.coalesce((F.col("kind") == "loose") & (F.col("covered") > F.col("start")), F.lit(False))
 
     def around(*names: str) -> Column:
         counts = F.col("kind").isin(*names) & ~covered
-        return F.coalesce(F.max(counts.cast("int")).over(near) == 1, F.lit(False))
+        left = F.col("start") - F.max(F.when(counts, F.col("end"))).over(before)
+        right = F.min(F.when(counts, F.col("start"))).over(behind) - F.col("end")
+        return F.coalesce(F.least(left, right) <= reach, F.lit(False))
 
     seen = scoped.withColumns(
         {

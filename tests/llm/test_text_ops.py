@@ -53,6 +53,15 @@ def test_linked_secrets(spark):
     assert [s.split(":")[0] for s in lone.split(",")] == ["assign"]
 
 
+def test_secrets_are_linked_by_the_gap_between_them(spark):
+    long, ident = "token=" + "x" * 400, "user=bobby"
+    texts = [f"{long} {ident}", f"{ident} {long}", long + " " * 300 + ident, long + " " * 301 + ident, ident + " " * 300 + long, ident + " " * 301 + long, f"{long}\n\n{ident}"]
+    found = secrets.secret_digests(frame(spark, list(enumerate(texts)))).collect()
+    kinds = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",")] for r in found}
+    first, then = ["assign", "ident"], ["ident", "assign"]
+    assert kinds == {0: first, 1: then, 2: first, 3: ["assign"], 4: then, 5: ["assign"], 6: ["assign"]}
+
+
 def test_edited_texts(spark):
     rows = [(i, t or "") for i, t in AWKWARD if i is not None] + [(r["doc_id"] + 50, r["text"]) for r in _documents(spark).collect()]
     got = order_minhash.edited_fingerprints(frame(spark, rows)).collect()
