@@ -274,5 +274,4 @@ def repeat_sequence(
         rows,
         ["StoreId", "PatPharmSysID", "OriginalScriptNumber"],
         ["RepeatNo", "DispensedDate", "Drugname", "TotalRepeats"],
-        [F.to_date("DispensedDate"), F.hour("DispensedDate"), F.minute("DispensedDate")],
     ).withColumnRenamed("_position", "ExpectedSequence")

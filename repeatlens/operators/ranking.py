@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.export import stored
+
 # Orders rows that share a dispense date. Rows that agree in all of these are equal
 # in every report, so which of them is taken makes no difference.
 DISPENSE_TIES = ("ScriptNo", "DrugVal", "RepeatNo", "TotalRepeats", "BrandName")
@@ -33,55 +35,85 @@ def top_rows(df: DataFrame, n: int, order: list[Column], per: list[str] | None =
     return df.orderBy(*order).limit(n)
 
 
-# Copies of a row are written out in runs of at most this many.
+# Copies of a row beyond this many are written out by several tasks.
 CHUNK = 100_000
 
 
+def running_sums(
+    df: DataFrame, group: list[str], order: list[str], sums: dict[str, Column]
+) -> DataFrame:
+    """``df`` with running sums inside its groups, for groups of any size.
+
+    Rows must differ in ``group`` and ``order``; ``group`` must not be null, nulls come
+    first in ``order``. Each sum runs up to and includes its row.
+
+    The rows are sorted into ranges by group and order and stored, so that a range is the
+    same whenever it is read again. A sum inside a range needs only that range's part of
+    a group. A group that goes on from earlier ranges is the last one in each of them and
+    the first one here: what those ranges hold of it is summed by range, one row each, and
+    added. No task sees more than one range of a group.
+    """
+    by = [*group, *(F.col(name).asc_nulls_first() for name in order)]
+    ranges = stored(
+        df.withColumns({f"_add_{name}": value for name, value in sums.items()})
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("_range", F.spark_partition_id())
+    )
+    keyed = ranges.withColumn("_group", F.struct(*group))
+    ends = keyed.groupBy("_range").agg(
+        F.min("_group").alias("_first"), F.max("_group").alias("_last")
+    )
+    adds = {name: F.col(f"_add_{name}") for name in sums}
+    tails = (
+        keyed.join(F.broadcast(ends.select("_range", F.col("_last").alias("_group"))), ["_range", "_group"])
+        .groupBy("_group", "_range")
+        .agg(*(F.sum(add).alias(name) for name, add in adds.items()))
+    )
+    starts = ends.select(F.col("_first").alias("_group"), "_range")
+    both = tails.withColumn("_asks", F.lit(False)).unionByName(
+        starts.withColumn("_asks", F.lit(True)), allowMissingColumns=True
+    )
+    earlier = Window.partitionBy("_group").orderBy("_range").rangeBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        both.select("_group", "_range", "_asks", *(F.sum(n).over(earlier).alias(f"_off_{n}") for n in sums))
+        .where(" OR ".join(f"_off_{n} IS NOT NULL" for n in sums))
+        .where("_asks")
+        .select(F.struct("_range", "_group").alias("_key"), *(f"_off_{n}" for n in sums))
+    )
+    inside = (
+        Window.partitionBy("_range", *group)
+        .orderBy(*by[len(group) :])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = ranges.withColumns({n: F.sum(add).over(inside) for n, add in adds.items()})
+    placed = placed.withColumn("_key", F.struct("_range", F.struct(*group).alias("_group")))
+    whole = {n: F.col(n) + F.coalesce(F.col(f"_off_{n}"), F.lit(0)) for n in sums}
+    return placed.join(offsets, "_key", "left").select(
+        *df.columns, *(total.alias(n) for n, total in whole.items())
+    )
+
+
 def number_rows(
-    df: DataFrame, group: list[str], order: list[str], steps: list[Column]
+    df: DataFrame, group: list[str], order: list[str], copies: str | None = None
 ) -> DataFrame:
     """1-based position of every row in its group, for groups of any size.
 
     ``df`` is cut down to ``group`` and ``order`` columns; ``group`` columns must not be
-    null. ``steps`` go from coarse to fine and must follow the order of the columns after
-    the first: a day, its hour, its minute. No task sorts more than one of the finest
-    slices, or the slices of one next coarser step:
-
-    * Rows that agree in all columns are counted before the shuffle and written out again
-      at the end, in runs that are spread over the cluster.
-    * The first position of a slice is that of the slice around it plus the sizes of its
-      earlier neighbours, step by step; inside the finest slices rows are summed.
-
-    Nothing depends on task or partition numbers, so a recomputed partition gives the same
-    positions.
+    null. Rows that agree in all columns are counted first and told apart by a number, so
+    that many copies of one row are spread as well, and so that a recomputed task gives
+    the same positions. ``copies`` names a column of numbers if they are counted already.
     """
-    copies = df.groupBy(*group, *order).agg(F.count("*").alias("_n"))
-    names = [*group, "_lead", *(f"_step{k}" for k in range(len(steps)))]
-    copies = copies.withColumn("_lead", F.col(order[0]))
-    copies = copies.withColumns(dict(zip(names[len(group) + 1 :], steps, strict=True)))
-    copies = copies.withColumns({n: F.struct(n) for n in names[len(group) :]})  # never null
-
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    starts = None
-    for depth in range(len(group), len(names)):
-        around, slice_ = names[:depth], names[depth]
-        before = F.sum("_size").over(earlier.partitionBy(*around).orderBy(slice_))
-        sizes = copies.groupBy(*around, slice_).agg(F.sum("_n").alias("_size"))
-        offset = sizes.select(*around, slice_, F.coalesce(before, F.lit(0)).alias("_offset"))
-        if starts is not None:
-            offset = offset.join(starts, around).withColumn(
-                "_offset", F.col("_offset") + F.col("_start")
-            )
-        starts = offset.select(*around, slice_, F.col("_offset").alias("_start"))
-
-    in_order = [F.col(name).asc_nulls_first() for name in order]
-    inside = F.sum("_n").over(earlier.partitionBy(*names).orderBy(*in_order))
-    placed = copies.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-    first = F.col("_start") + F.col("_inside") + 1
-    spans = placed.join(starts, names).select(
-        *group, *order, first.alias("_first"), (first + F.col("_n") - 1).alias("_last")
+    how_many = F.count("*") if copies is None else F.sum(copies)
+    counted = df.groupBy(*group, *order).agg(how_many.alias("_n"))
+    few = counted.where(F.col("_n") <= CHUNK).select(
+        *group, *order, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")
+    )
+    runs = F.explode(F.sequence(F.lit(1).cast("long"), "_n", F.lit(CHUNK).cast("long")))
+    many = counted.where(F.col("_n") > CHUNK).withColumn("_run", runs)
+    last = F.least(F.col("_n"), F.col("_run") + CHUNK - 1)
+    many = many.repartition(*group, *order, "_run").select(
+        *group, *order, F.explode(F.sequence("_run", last)).alias("_copy")
     )
-    runs = spans.withColumn("_run", F.explode(F.sequence("_first", "_last", F.lit(CHUNK).cast("long"))))
-    runs = runs.repartition(*group, *order, "_run")
-    last = F.least(F.col("_last"), F.col("_run") + CHUNK - 1)
-    return runs.select(*group, *order, F.explode(F.sequence("_run", last)).alias("_position"))
+    one = {"_position": F.lit(1).cast("long")}
+    return running_sums(few.union(many), group, [*order, "_copy"], one).drop("_copy")

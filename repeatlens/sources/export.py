@@ -76,15 +76,30 @@ def save_table(df: DataFrame, path: str, sort_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the one all executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The session names it in ``spark.checkpoint.dir``, which a cluster has to set. Where
-    nothing is set, as in tests, a temporary folder is taken.
+    A local session may do without, then a temporary folder is set. On a cluster a folder of
+    the driver's own would be out of the executors' reach, so there it has to be named.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="repeatlens-"))
-        root = context.getCheckpointDir()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="repeatlens-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder name below the one all executors share."""
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, with their lineage cut: reading them again
+    gives the same rows in the same partitions, whatever executors are lost."""
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from repeatlens.operators import adherence, filters, monitoring, refills, volumes
+from repeatlens.operators import adherence, filters, monitoring, ranking, refills, volumes
 from repeatlens.sources.tables import load_tables
 from tests.frames import CLOCK, frame, random_dispenses
 
@@ -169,3 +169,28 @@ def test_a_hot_patient_is_split(spark, conf, kind):
     }[kind]()
     assert len(df.collect()) == expected
     assert "skew=true" in plan(df, "simple").split("Initial Plan")[0]
+
+
+def test_a_hot_script_on_one_minute_is_numbered_in_ranges(spark, conf, monkeypatch):
+    conf(shuffle__partitions="12", adaptive__coalescePartitions__enabled="false")
+    kept = []
+
+    def stored(df, write=ranking.stored):
+        kept.append(write(df))
+        return kept[-1]
+
+    monkeypatch.setattr(ranking, "stored", stored)
+    hot = F.col("id") % 3 == 0
+    rows = spark.range(60_000).select(
+        F.when(hot, 0).otherwise(F.col("id")).alias("script"),
+        F.when(hot, F.lit("2024-01-01 10:00")).otherwise(F.col("id").cast("string")).alias("minute"),
+        # Of the hot rows a half are copies of one row.
+        F.when(hot & (F.col("id") % 2 == 0), F.lit(None)).otherwise(F.col("id")).alias("drug"),
+    )
+    got = ranking.number_rows(rows, ["script"], ["minute", "drug"])
+    assert got.count() == 60_000
+    spots = got.where("script = 0").agg(F.count_distinct("_position"), F.max("_position")).first()
+    assert tuple(spots) == (20_000, 20_000)
+    assert got.where("script = 0 AND drug IS NULL").agg(F.max("_position")).first()[0] == 10_000
+    shares = [r["count"] for r in kept[0].groupBy("_range").count().collect()]
+    assert max(shares) < 2 * 60_000 / 12
