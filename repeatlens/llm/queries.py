@@ -1,7 +1,7 @@
 """The queries of this subpackage: each operator over its whole table, and the pipeline.
 
-SQL cannot express these operators; ``ORACLE_SQL`` is empty, and the tests hold each
-query against a brute-force version, an exact round trip or held-out labels.
+``ORACLE_SQL`` has statements for operators 11 to 13. SQL cannot express the others; the
+tests hold them against a brute-force version, an exact round trip or held-out labels.
 """
 
 from __future__ import annotations
@@ -18,17 +18,25 @@ from repeatlens.llm import (
     bpe,
     decontamination,
     language_id,
+    licenses,
     line_dedup,
     near_dups,
     order_minhash,
+    phrases,
+    prefix_trie,
     quality,
     secrets,
+    statements,
     token_counts,
     toxicity,
 )
 from repeatlens.llm.common import held_out, settled, table
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_license_scan": statements.op11(),
+    "op12_phrase_collocations": statements.OP12,
+    "op13_prefix_trie": statements.OP13,
+}
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +97,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def _predicted(scores: DataFrame, limit: float) -> DataFrame:
     return scores.select(
         "doc_id",
@@ -111,5 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_secret_scan,
         op10_line_dedup,
+        op11_license_scan,
+        op12_phrase_collocations,
+        op13_prefix_trie,
     )
 } | {"pipeline": corpus_pipeline.run}
