@@ -34,8 +34,8 @@ from repeatlens.llm.common import map_arrow, settled
 from repeatlens.operators.filters import matched
 
 LONGEST = 4  # words of a phrase
-BLOCK = 1 << 23  # bytes of text that are worked on at a time
-HELD = 1 << 22  # counters that a task holds before its summaries go out
+BLOCK = 1 << 21  # bytes of text that are worked on at a time
+HELD = 1 << 21  # counters that a task holds before its summaries go out
 MASS = 1 << 23  # bytes of text for each hash partition
 FILTER_BITS = 28  # the filter has 2^28 bits, 32 MB
 
