@@ -101,7 +101,7 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
     while step < len(cuts):
         steps.insert(0, step)
         step *= 2
-    bounds = f"transform(split('{','.join(map(str, cuts))}', ','), x -> cast(x AS bigint))"
+    bounds = f"cast(split('{','.join(map(str, cuts))}', ',') AS array<bigint>)"  # folds to a literal
     find = (
         f"aggregate(array({','.join(map(str, steps)) or 0}), 0, (at, s) -> "
         f"if(at + s < {len(cuts)} AND coalesce(get({bounds}, at + s), 0L) <= __key, at + s, at))"
