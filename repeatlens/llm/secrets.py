@@ -90,7 +90,7 @@ def secret_spans(
     """One row for each document: ``doc_id`` and ``found``, an array of (start, rank, kind,
     end, base) by start, then kind. Offsets count code points, ends are exclusive.
 
-    Null and empty texts have no spans. Repeated rows are scanned apart and stay apart; a
+    Null and empty texts, and texts whose matches are all too short, have no spans. Repeated rows are scanned apart and stay apart; a
     null id stays null. Texts of any length are scanned whole.
     """
     flags = {k.name: _may_have(k) for k in (*BASE, *WEAK)}
@@ -110,7 +110,10 @@ def secret_spans(
     in_order = Window.partitionBy("row", "kind").orderBy("nth")
     placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(in_order))
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
-    kept = placed.filter(F.col("kind").isNull() | F.col("valid"))
+    # A match that is too short becomes a row without one, so its document stays.
+    kept = placed.withColumns(
+        {c: F.when(F.col("valid"), F.col(c)) for c in ("kind", "start", "end")}
+    )
 
     is_base = F.col("kind").isin([k.name for k in BASE])
     so_far = Window.partitionBy("row").orderBy("start", "end").rowsBetween(
