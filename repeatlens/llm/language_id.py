@@ -6,8 +6,10 @@ pass adds up; a text's score for a language is the sum of the log probabilities
 words. The distributions are learned by expectation-maximisation: forward and backward
 passes over the training texts give expected counts of pieces, summed by partition.
 
-Words are runs of letters, in lower case, marked at their start; runs beyond 24 letters are
-scored in pieces of 24. All words of a block of texts pass through the recursion together.
+Words are runs of letters, in lower case, marked at their start. All words of up to ``GRID``
+letters of a block of texts pass through the recursion together; longer ones pass through
+it one by one, in logarithms. Every piece of letters of the vocabulary takes part, however
+long it is, and no word is cut.
 """
 
 from __future__ import annotations
@@ -17,28 +19,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatlens.llm.common import fold, map_arrow, texts
-from repeatlens.llm.words import code_points, kinds
+from repeatlens.llm.common import fold, map_arrow, settled, texts
+from repeatlens.llm.words import code_points, kinds, letters
 
-LONGEST = 6  # letters of a piece, its mark of a word start included
-WORD = 24
+GRID = 32
 ROUNDS = 3
 ROWS = 256
-_MARK = np.uint32(0x2581)
-_SLOTS = 1 << 18
+_MARK = 0x2581
+_NONE, _BEGIN = -2, -1  # no piece; only the beginning of pieces
 _U = np.uint64
 
 
 @dataclass
 class Vocabulary:
-    """Pieces of up to ``LONGEST`` letters in a hash table with linear probing."""
+    """Pieces and their beginnings in a hash table with linear probing."""
 
-    keys: np.ndarray  # two slots arrays: hash and piece number
+    keys: np.ndarray  # two arrays of slots: hash, and piece number or _BEGIN
     numbers: np.ndarray
     size: int
+    longest: int
 
 
 def _hash_step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -49,141 +51,209 @@ def _hash_step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
 def vocabulary(pieces: list[str]) -> Vocabulary:
     """Numbers the pieces that consist of letters in lower case, at most one mark before."""
     fit = sorted(
-        {p for p in pieces if len(p) <= LONGEST and (p.removeprefix(chr(_MARK)) or "x").isalpha() and p == p.lower()}
+        {p for p in pieces if p and (p.removeprefix(chr(_MARK)) or "x").isalpha() and p == p.lower()}
     )
-    keys, numbers = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int32)
-    for k, piece in enumerate(fit):
+    held = {p[:k]: _BEGIN for p in fit for k in range(1, len(p))} | {p: k for k, p in enumerate(fit)}
+    slots = 1 << (4 * len(held) + 1).bit_length()
+    keys, numbers = np.zeros(slots, np.uint64), np.full(slots, _NONE, np.int32)
+    for piece, number in held.items():
         h = np.zeros(1, np.uint64)
         for c in piece:
             h = _hash_step(h, np.array([ord(c)]))
-        slot = int(h[0]) % _SLOTS
-        while numbers[slot] >= 0:
-            slot = (slot + 1) % _SLOTS
-        keys[slot], numbers[slot] = h[0], k
-    return Vocabulary(keys, numbers, len(fit))
+        slot = int(h[0]) % slots
+        while numbers[slot] != _NONE:
+            slot = (slot + 1) % slots
+        keys[slot], numbers[slot] = h[0], number
+    return Vocabulary(keys, numbers, len(fit), max(map(len, fit), default=0))
 
 
 def _find(voc: Vocabulary, h: np.ndarray) -> np.ndarray:
-    """Piece numbers of hashes, -1 for none."""
-    slot = (h & _U(_SLOTS - 1)).astype(np.int64)
-    out = np.full(len(h), -1, np.int32)
+    """Piece numbers of hashes, ``_BEGIN`` and ``_NONE``."""
+    last = len(voc.keys) - 1
+    slot = (h & _U(last)).astype(np.int64)
+    out = np.full(len(h), _NONE, np.int32)
     at = np.arange(len(h))
     while len(at):
         number = voc.numbers[slot]
         same = voc.keys[slot] == h[at]
-        hit = (number >= 0) & same
+        hit = (number != _NONE) & same
         out[at[hit]] = number[hit]
-        more = (number >= 0) & ~same
-        at, slot = at[more], (slot[more] + 1) & (_SLOTS - 1)
+        more = (number != _NONE) & ~same
+        at, slot = at[more], (slot[more] + 1) & last
     return out
 
 
-def word_grid(text_list: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of the texts as rows of letters (0 beyond the end), their lengths,
-    and for each text and distinct word in it the pair (text, word) as two arrays."""
+@dataclass
+class Words:
+    """The words of some texts. Those of up to ``GRID`` letters: rows of code points with the
+    mark in front (0 beyond the end), longest first, each distinct word once; their sizes with
+    the mark; and for each occurrence its text and row. Longer ones: text and code points."""
+
+    grid: np.ndarray
+    size: np.ndarray
+    which: np.ndarray
+    row: np.ndarray
+    long: list[tuple[int, np.ndarray]]
+    n_letters: np.ndarray  # by text
+
+
+def words_of(text_list: list[str]) -> Words:
     points = code_points("\n".join(t.replace("\n", " ") for t in text_list))
     which = np.cumsum(points == 10)
-    letter = kinds(points) == 1
-    before = np.concatenate(([False], letter[:-1]))
-    starts = np.flatnonzero(letter & ~before)
-    ends = np.flatnonzero(letter & ~np.concatenate((letter[1:], [False]))) + 1
-    size = ends - starts
-    if len(size) and size.max() > WORD:  # long runs in pieces
-        parts = -(-size // WORD)
-        first = np.repeat(starts, parts)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = first + nth * WORD
-        size = np.minimum(np.repeat(size, parts) - nth * WORD, WORD)
-    grid = np.zeros((len(starts), WORD + 1), np.uint32)
+    n_letters = np.bincount(which[letters(points)], minlength=len(text_list))
+    inside = kinds(points) == 1
+    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+    size = np.flatnonzero(inside & ~np.concatenate((inside[1:], [False]))) + 1 - starts
+    beyond = np.flatnonzero(size > GRID)
+    long = [
+        (int(which[starts[w]]), np.append(_MARK, points[starts[w] : starts[w] + size[w]])) for w in beyond
+    ]
+    starts, size = np.delete(starts, beyond), np.delete(size, beyond)
+    owner = which[starts]
+    order = np.argsort(-size, kind="stable")
+    starts, size, owner = starts[order], size[order], owner[order]
+    grid = np.zeros((len(starts), GRID + 1), np.uint32)
     grid[:, 0] = _MARK
-    for k in range(int(size.max()) if len(size) else 0):
-        has = size > k
-        grid[has, k + 1] = points[starts[has] + k]
     h = np.zeros(len(starts), np.uint64)
-    for k in range(1, (int(size.max()) if len(size) else 0) + 1):
-        h = np.where(size >= k, _hash_step(h, grid[:, k]), h)
-    _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return grid[index], size[index] + 1, which[starts], inverse
-
-
-def _pieces(voc: Vocabulary, grid: np.ndarray, size: np.ndarray) -> list[list[np.ndarray]]:
-    """found[i][k - 1]: numbers of the pieces of k letters that start at letter i."""
-    found = []
-    for i in range(int(size.max())):
-        h, row = np.zeros(len(grid), np.uint64), []
-        for k in range(1, min(LONGEST, grid.shape[1] - i) + 1):
-            h = _hash_step(h, grid[:, i + k - 1])
-            number = np.full(len(grid), -1, np.int32)
-            has = np.flatnonzero(size >= i + k)
-            number[has] = _find(voc, h[has])
-            row.append(number)
+    for k in range(int(size.max()) if len(size) else 0):
+        n = np.searchsorted(-size, -k)  # words of more than k letters
+        grid[:n, k + 1] = points[starts[:n] + k]
+        h[:n] = _hash_step(h[:n], grid[:n, k + 1])
+    _, first, row = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    first = first[order]
+    return Words(grid[first], size[first] + 1, owner, place[row], long, n_letters)
+
+
+Found = list[list[tuple[int, np.ndarray, np.ndarray]]]
+
+
+def _pieces(voc: Vocabulary, grid: np.ndarray, size: np.ndarray) -> Found:
+    """found[i]: (k, rows, numbers) of the pieces of k letters that start at letter i. A single
+    letter that is no piece has a negative number. Longest words first."""
+    found: Found = []
+    for i in range(int(size[0]) if len(size) else 0):
+        rows = np.arange(np.searchsorted(-size, -i))
+        h, row = np.zeros(len(rows), np.uint64), []
+        for k in range(1, min(voc.longest, grid.shape[1] - i) + 1):
+            n = np.searchsorted(-size[rows], 1 - i - k)  # words of i + k letters and more
+            rows, h = rows[:n], _hash_step(h[:n], grid[rows[:n], i + k - 1])
+            number = _find(voc, h)
+            if k == 1:
+                row.append((1, rows, number))
+            elif (hit := number >= 0).any():
+                row.append((k, rows[hit], number[hit]))
+            alive = number != _NONE
+            rows, h = rows[alive], h[alive]
+            if not len(rows):
+                break
+        if not row:  # an empty vocabulary
+            row.append((1, rows, np.full(len(rows), _NONE, np.int32)))
         found.append(row)
     return found
 
 
-def _chance(p: np.ndarray, number: np.ndarray, single: bool) -> np.ndarray:
-    """Probabilities by language of pieces; letters that no piece covers get the floor."""
-    out = p[number]  # the row of number -1 is the last
-    return out if single else np.where((number >= 0)[:, None], out, 0.0)
+def _chance(p: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Probabilities by language of pieces; letters that are no piece have the last row."""
+    return p[np.maximum(number, -1)]
 
 
-def forward(p: np.ndarray, found: list, size: np.ndarray) -> list[np.ndarray]:
-    """alpha[i]: by word and language, the sum over all segmentations of the first i letters.
+def forward(p: np.ndarray, found: Found, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """alpha[i]: by word and language, the sum over all segmentations of the first i letters;
+    and the sum over those of the whole word.
 
     ``p`` has a row for each piece and a last row with the floor of unknown letters.
     """
-    n, langs = len(size), p.shape[1]
-    alpha = [np.ones((n, langs))] + [np.zeros((n, langs)) for _ in range(len(found))]
+    shape = (len(size), p.shape[1])
+    alpha = [np.ones(shape)] + [np.zeros(shape) for _ in found]
     for i, row in enumerate(found):
-        for k, number in enumerate(row):
-            if i + k + 1 < len(alpha):
-                alpha[i + k + 1] += alpha[i] * _chance(p, number, k == 0)
+        for k, rows, number in row:
+            alpha[i + k][rows] += alpha[i][rows] * _chance(p, number)
+    total = np.ones(shape)
+    for i in range(1, len(alpha)):
+        at = size == i
+        total[at] = alpha[i][at]
+    return alpha, total
+
+
+def _edges(voc: Vocabulary, points: np.ndarray) -> list[tuple[int, int, int]]:
+    """(i, j, number) of the pieces of one word, and of its letters that are no piece."""
+    n, edges = len(points), []
+    for at in range(0, n, 4096):
+        i = np.arange(at, min(n, at + 4096))
+        h = np.zeros(len(i), np.uint64)
+        for k in range(1, max(voc.longest, 1) + 1):
+            fits = i + k <= n
+            i, h = i[fits], h[fits]
+            if not len(i):
+                break
+            h = _hash_step(h, points[i + k - 1])
+            number = _find(voc, h)
+            hit = number >= 0 if k > 1 else np.ones(len(i), bool)
+            edges += zip(i[hit].tolist(), (i[hit] + k).tolist(), np.maximum(number[hit], -1).tolist(), strict=True)
+            alive = number != _NONE
+            i, h = i[alive], h[alive]
+    return sorted(edges)
+
+
+def _log_forward(log_p: np.ndarray, edges: list, n: int) -> np.ndarray:
+    """Logarithms of alpha for one word of n letters."""
+    alpha = np.full((n + 1, log_p.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    for i, j, number in edges:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + log_p[number])
     return alpha
 
 
 def _sums(p: np.ndarray, voc: Vocabulary, text_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Log probability by text and language, and letters by text."""
-    langs = p.shape[1]
-    grid, size, which, inverse = word_grid(text_list)
-    if not len(grid):
-        return np.zeros((len(text_list), langs)), np.zeros(len(text_list))
-    alpha = forward(p, _pieces(voc, grid, size), size)
-    total = np.stack(alpha)[size, np.arange(len(size))]
-    log = np.log(np.maximum(total, 1e-300))
-    scores = np.stack(
-        [np.bincount(which, weights=log[inverse, k], minlength=len(text_list)) for k in range(langs)], 1
-    )
-    return scores, np.bincount(which, weights=(size - 1)[inverse], minlength=len(text_list))
+    n, langs = len(text_list), p.shape[1]
+    words, scores = words_of(text_list), np.zeros((len(text_list), p.shape[1]))
+    if len(words.size):
+        _, total = forward(p, _pieces(voc, words.grid, words.size), words.size)
+        log = np.log(total)[words.row]
+        scores += np.stack([np.bincount(words.which, weights=log[:, k], minlength=n) for k in range(langs)], 1)
+    log_p = np.log(p) if words.long else p
+    for text, points in words.long:
+        scores[text] += _log_forward(log_p, _edges(voc, points), len(points))[-1]
+    return scores, words.n_letters
 
 
 def _expected(p: np.ndarray, voc: Vocabulary, text_list: list[str], lang: np.ndarray) -> np.ndarray:
     """Expected counts of pieces, by piece and language."""
     counts = np.zeros_like(p)
-    grid, size, which, inverse = word_grid(text_list)
-    if not len(grid):
-        return counts
-    langs = p.shape[1]
-    times = np.zeros((len(grid), langs))
-    np.add.at(times, (inverse, lang[which]), 1.0)
-    found = _pieces(voc, grid, size)
-    alpha = forward(p, found, size)
-    total = np.maximum(np.stack(alpha)[size, np.arange(len(size))], 1e-300)
-    beta = [np.zeros((len(grid), langs)) for _ in range(len(found) + 1)]
-    for i in range(len(found), -1, -1):
-        beta[i][size == i] = 1.0
-        if i == len(found):
-            continue
-        for k, number in enumerate(found[i]):
-            if i + k + 1 < len(beta):
-                chance = _chance(p, number, k == 0)
-                beta[i] += chance * beta[i + k + 1]
-    for i, row in enumerate(found):
-        for k, number in enumerate(row):
-            if i + k + 1 < len(beta):
-                use = alpha[i] * _chance(p, number, k == 0) * beta[i + k + 1] * times / total
+    words = words_of(text_list)
+    size, langs = words.size, p.shape[1]
+    if len(size):
+        times = np.zeros((len(size), langs))
+        np.add.at(times, (words.row, lang[words.which]), 1.0)
+        found = _pieces(voc, words.grid, size)
+        alpha, total = forward(p, found, size)
+        share = times / total
+        beta = [np.zeros((len(size), langs)) for _ in range(len(found) + 1)]
+        for i in range(len(found), -1, -1):
+            beta[i][size == i] = 1.0
+            for k, rows, number in found[i] if i < len(found) else ():
+                through = _chance(p, number) * beta[i + k][rows]
+                beta[i][rows] += through
+                use = alpha[i][rows] * through * share[rows]
                 known = np.flatnonzero((number >= 0) & (use.max(1) > 0))
                 for c in range(langs):
                     counts[:, c] += np.bincount(number[known], weights=use[known, c], minlength=len(p))
+    log_p = np.log(p) if words.long else p
+    for text, points in words.long:
+        c, edges = lang[text], _edges(voc, points)
+        own = log_p[:, c : c + 1]
+        alpha = _log_forward(own, edges, len(points))[:, 0]
+        beta = np.full(len(points) + 1, -np.inf)
+        beta[-1] = 0.0
+        for i, j, number in reversed(edges):
+            through = own[number, 0] + beta[j]
+            beta[i] = np.logaddexp(beta[i], through)
+            if number >= 0:
+                counts[number, c] += np.exp(alpha[i] + through - alpha[-1])
     return counts
 
 
@@ -212,24 +282,25 @@ def fit(
     most: int = 2000,
 ) -> Model:
     """Learns from texts with a language outside fold 0: at most ``most`` of each language,
-    those with the smallest hash of doc_id. Null languages, texts and ids are left out."""
+    those with the smallest hash of doc_id. Null languages, texts and ids are left out. Rows
+    that repeat an id and a language count once, with the smallest text. The sample is
+    written to the checkpoint folder once and read in each of the rounds."""
     known = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").alias("text"),
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     ).filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     known = known.filter(fold(F.col("doc_id")) != 0)
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(order))
+    # At most ``most`` rows a language, of an id and a short name.
+    picked = F.broadcast(settled(picked.filter(F.col("nth") <= most).drop("nth")))
+    sample = known.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sample = settled(sample.select("text", "lang"))
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     voc = vocabulary(pieces)
     if not langs:
         return Model([], np.ones((voc.size + 1, 0)), voc)
-    picked = None
-    for lang in langs:
-        one = known.filter(F.col("lang") == lang).select("doc_id", "lang")
-        one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked = one if picked is None else picked.union(one)
-    # At most ``most`` rows a language, of an id and a short name.
-    sample = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang")
     p = _normalised(np.ones((voc.size + 1, len(langs))))
     for _ in range(ROUNDS):
         p = _normalised(_summed(sample, Model(langs, p, voc)))
@@ -278,11 +349,11 @@ def predict(
                 text_list = part.column(1).to_pylist()
                 names, best = ["und"] * len(text_list), np.zeros(len(text_list))
                 if model.langs:
-                    scores, letters = _sums(model.p, model.voc, text_list)
+                    scores, n_letters = _sums(model.p, model.voc, text_list)
                     chance = np.exp(scores - scores.max(1, keepdims=True))
                     chance /= chance.sum(1, keepdims=True)
                     top = scores.argmax(1)
-                    some = letters > 0
+                    some = n_letters > 0
                     names = [model.langs[t] if s else "und" for t, s in zip(top, some, strict=True)]
                     best = np.where(some, chance[np.arange(len(top)), top], 0.0)
                 yield pa.RecordBatch.from_arrays(
