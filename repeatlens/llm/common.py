@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repeatlens.sources.export import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,18 +35,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, with their lineage cut.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; a temporary
-    one is taken only where none is named, as in tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
-    return df.checkpoint(eager=True)
+    """The rows written to the shared folder (``spark.checkpoint.dir``), with their lineage cut."""
+    return stored(df)
 
 
 _SHIPPED: set[str] = set()

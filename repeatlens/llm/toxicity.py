@@ -5,8 +5,11 @@ documents. The trie of the lexicon is intersected with Levenshtein automata of d
 (terms of five letters or more): states are sets of (trie node, edits), made deterministic
 once into a table, so that all words of a text run through it in parallel, letter by
 letter, and most die after two or three. Every hit is looked at in its context: inside
-quotation marks, or near words of reporting, it counts as quoted, which has weights of its
-own. A logistic model turns the hits of a text into a score.
+quotation marks that its line has opened, or near words of reporting, it counts as quoted,
+which has weights of its own. A logistic model turns the hits of a text into a score.
+
+Words are runs of letters, their marks, and numbers; an emoji or a variation selector ends
+one. Scripts without spaces between words have long ones, of which beginnings may match.
 """
 
 from __future__ import annotations
@@ -22,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repeatlens.llm.common import fold, map_arrow, texts
+from repeatlens.llm.common import fold, map_arrow, settled, texts
 from repeatlens.llm.words import code_points, kinds
 
 LEAST_FUZZY = 5
-WORDS = 240
-BEGINNINGS = 40
 REPORTING = re.compile(  # fixed values: words of reporting speech
     r"\b(?:said|says|called|calls|wrote|writes|quote[ds]?|quoting|word|term|dit|sagte|dijo)\b", re.I
 )
@@ -89,6 +90,10 @@ class Automaton:
         self.end_edits = np.array([e for e, _ in ends], np.int32)
         begun = [max((begin[n] for n, e in s if e == 0 and n in begin), default=-1) for s in order]
         self.begin_term = np.array(begun, np.int32)
+        self.class_of = np.zeros(1 << 16, np.int32)
+        for c, k in self.classes.items():
+            if ord(c) < len(self.class_of) - 1:
+                self.class_of[ord(c)] = k
 
     def _closed(self, items: set) -> frozenset:
         """Adds deletions (a letter of the term left out), drops what an exact path covers."""
@@ -123,11 +128,7 @@ class Automaton:
         if not inside.any():
             none = np.empty(0, np.int64)
             return none, none, none, 0
-        table = np.zeros(1 << 16, np.int32)
-        for c, k in self.classes.items():
-            if ord(c) < len(table):
-                table[ord(c)] = k
-        cls = table[np.minimum(points, 0xFFFF)]
+        cls = self.class_of[np.minimum(points, 0xFFFF)]
         before = np.concatenate(([False], inside[:-1]))
         starts = np.flatnonzero(inside & ~before)
         ends = np.concatenate((~inside[1:], [True]))  # the last letter of a word
@@ -159,13 +160,31 @@ class Automaton:
 _SYMBOLS = np.array([ord(c) for c in "@$!*+"], np.uint32)
 
 
-def quoted(text: str, at: int) -> bool:
-    """Whether a hit stands in quotation marks on its line, or near words of reporting."""
-    line = text.rfind("\n", 0, at) + 1
-    before = text[max(line, at - 2000) : at]
-    if sum(before.count(q) for q in QUOTES) % 2:
-        return True
-    return bool(REPORTING.search(text[max(line, at - REACH) : at + REACH]))
+_QUOTE = re.compile(f"[{QUOTES}]")
+
+
+def quoted(text: str, places: list[int] | np.ndarray) -> np.ndarray:
+    """Which of the places stand in quotation marks on their line, or near words of reporting.
+
+    Marks, line ends and reporting words are looked up once for all places of the text.
+    """
+    at = np.asarray(places, np.int64)
+    ends = np.array([i for i, c in _found(_LINE_END, text)], np.int64)
+    marks = np.array([i for i, _ in _found(_QUOTE, text)], np.int64)
+    line = np.append(0, ends + 1)[np.searchsorted(ends, at)]
+    opened = (np.searchsorted(marks, at) - np.searchsorted(marks, line)) % 2 == 1
+    said = np.array(_found(REPORTING, text), np.int64).reshape(-1, 2)
+    first = np.searchsorted(said[:, 0], np.maximum(line, at - REACH))
+    reported = first < len(said)
+    reported[reported] = said[first[reported], 1] <= at[reported] + REACH
+    return opened | reported
+
+
+_LINE_END = re.compile("\n")
+
+
+def _found(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in pattern.finditer(text)]
 
 
 N_FEATURES = 7
@@ -175,8 +194,8 @@ def features(automaton: Automaton, lexicon: Lexicon, text: str) -> list[float]:
     starts, terms, edits, n = automaton.scan(text)
     sums, hits, shares = [0.0, 0.0, 0.0], 0, 0
     seen = set()
-    for s, t, e in zip(starts.tolist(), terms.tolist(), edits.tolist(), strict=True):
-        is_quoted = quoted(text, s)
+    context = quoted(text, starts) if len(starts) else starts
+    for t, e, is_quoted in zip(terms.tolist(), edits.tolist(), context.tolist(), strict=True):
         hits += not is_quoted and not e
         shares += is_quoted
         if (t, e, is_quoted) not in seen:
@@ -232,7 +251,7 @@ def _odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
     return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
 
-def _chosen(candidates: list, n_toxic: int, n_clean: int) -> Lexicon:
+def _chosen(candidates: list, n_toxic: int, n_clean: int, words: int, beginnings: int) -> Lexicon:
     """The strongest words, and beginnings that say more than the words they begin."""
     lexicon = Lexicon()
     scored = sorted(
@@ -241,7 +260,7 @@ def _chosen(candidates: list, n_toxic: int, n_clean: int) -> Lexicon:
     )
     counts = {}
     for _, r, odds in scored:
-        if not r["begins"] and odds > 2 and len(counts) < WORDS:
+        if not r["begins"] and odds > 2 and len(counts) < words:
             counts[r["term"]] = r["toxic"]
             lexicon.terms.append(r["term"])
             lexicon.begins.append(False)
@@ -249,7 +268,7 @@ def _chosen(candidates: list, n_toxic: int, n_clean: int) -> Lexicon:
     starts: list[str] = []
     for _, r, odds in scored:
         term = r["term"]
-        if not r["begins"] or len(starts) >= BEGINNINGS:
+        if not r["begins"] or len(starts) >= beginnings:
             continue
         if any(term.startswith(s) or s.startswith(term) for s in starts):
             continue
@@ -303,14 +322,24 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     most: int = 4000,
+    words: int = 240,
+    beginnings: int = 40,
+    candidates: int = 5000,
 ) -> Model:
     """Learns from labelled rows outside fold 0: at most ``most`` of each label, those with
     the smallest hash of doc_id. Null labels, ids without a document and null ids are left
-    out. Without both labels the score is the share of label 1, or 0 without labels."""
+    out. Rows that repeat an id and a label count once, with the smallest text; an id with
+    both labels counts for either. Without both labels the score is the share of label 1, or
+    0 without labels.
+
+    The lexicon has at most ``words`` words and ``beginnings`` beginnings of words, of 3 to 24
+    letters, chosen from the ``candidates`` that say most of those in 3 toxic documents or
+    more. The driver holds no more than these. The sample is written to the checkpoint folder
+    once."""
     known = labels.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")
     ).filter("doc_id IS NOT NULL AND label IN (0, 1)")
-    known = known.filter(fold(F.col("doc_id")) != 0)
+    known = settled(known.filter(fold(F.col("doc_id")) != 0).distinct())
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return Model(Lexicon(), 1.0 if totals.get(1) else 0.0)
@@ -318,12 +347,13 @@ def fit(
     picked = [known.filter(F.col("label") == k).orderBy(*order).limit(most) for k in (0, 1)]
     # At most 2 * most rows of 12 bytes.
     sample = F.broadcast(picked[0].union(picked[1]))
-    rows = texts(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "label")
+    rows = texts(docs, id_col, text_col).join(sample, "doc_id").groupBy("doc_id", "label")
+    rows = settled(rows.agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
     counts = _term_counts(rows).filter("toxic >= 3").orderBy(
         F.desc(F.expr("toxic * (log(toxic + 0.5) - log(clean + 0.5))")), "term"
     )
     n = {k: min(most, v) for k, v in totals.items()}
-    lexicon = _chosen(counts.limit(5000).collect(), n[1], n[0])
+    lexicon = _chosen(counts.limit(candidates).collect(), n[1], n[0], words, beginnings)
     if not lexicon.terms:
         return Model(lexicon, totals[1] / sum(totals.values()))
     # A misspelling that neither label shows says half as much as the word itself.

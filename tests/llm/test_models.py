@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -94,9 +95,46 @@ def test_automaton_equals_edit_distance():
 
 
 def test_context():
-    assert toxicity.quoted('they wrote "fool" here', 12)
-    assert toxicity.quoted("someone called them a fool", 22)
-    assert not toxicity.quoted('"so it goes" you fool', 17)
+    def quoted(text, at):
+        return toxicity.quoted(text, [at]).tolist() == [True]
+
+    assert quoted('they wrote "fool" here', 12)
+    assert quoted("someone called them a fool", 22)
+    assert not quoted('"so it goes" you fool', 17)
+    far = "blah " * 2000
+    assert quoted(f'"{far}fool', len(far) + 1)  # opened 10,000 characters before
+    assert not quoted(f'"{far}" {far}fool', 2 * len(far) + 3)
+    assert not quoted(f'"{far}\nfool', len(far) + 2)  # another line
+
+
+def test_context_against_a_search_for_every_place():
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choices(['"', "„", "said", " ", "\n", "x", "word ", "unsaid", "blah " * 5], k=40))
+        places = sorted(r.sample(range(len(text)), 9))
+        want = []
+        for at in places:
+            line = text.rfind("\n", 0, at) + 1
+            near = any(
+                m.start() >= max(line, at - toxicity.REACH) and m.end() <= at + toxicity.REACH
+                for m in toxicity.REPORTING.finditer(text)
+            )
+            want.append(sum(c in toxicity.QUOTES for c in text[line:at]) % 2 == 1 or near)
+        assert toxicity.quoted(text, places).tolist() == want
+
+
+def test_context_takes_one_pass():
+    text = '"fool" fool, you ' * 60_000  # a megabyte on one line
+    lexicon = toxicity.Lexicon(["fool"], [False], [1.0], [1.0])
+    began = time.process_time()
+    toxicity.features(toxicity.Automaton(lexicon), lexicon, text)
+    assert time.process_time() - began < 10
+
+
+def test_signs_end_a_word():
+    automaton = toxicity.Automaton(toxicity.Lexicon(["fool"], [False], [1.0], [1.0]))
+    for text in ("fool\U0001F600", "\U0001F600\uFE0Ffool\uFE0F", "fool\u200D\u2764\uFE0F", "fool\u20E3"):
+        assert automaton.scan(text)[1].tolist() == [0], text
 
 
 def test_symbols_inside_words():
@@ -110,17 +148,74 @@ def test_language(docs, pieces):
     got = language_id.predict(docs, model).collect()
     held = [r for r in got if _held_out(r["doc_id"])]
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) > 0.97 * len(held)
-    known = {p: k for k, p in enumerate(sorted({p for p in pieces if len(p) <= 6 and (p.removeprefix("▁") or "x").isalpha() and p == p.lower()}))}
-    for word in ("the", "erheat", "ñandú", "日本", "x" * 20):
-        text = "▁" + word
-        total = [1.0] + [0.0] * len(text)
-        for i in range(len(text)):
-            for k in range(1, min(6, len(text) - i) + 1):
-                piece = known.get(text[i : i + k], -1)
-                if piece >= 0 or k == 1:
-                    total[i + k] += total[i] * model.p[piece, 0]
+    for word in ("the", "erheat", "ñandú", "日本", "x" * 20, "straßenbahnhaltestellen" * 5):
+        total, _, _ = _by_hand(model, pieces, word, 0)
         score = language_id._sums(model.p, model.voc, ["! " + word])[0][0, 0]
-        assert score == pytest.approx(math.log(total[-1]))
+        assert score == pytest.approx(math.log(total))
+
+
+def _by_hand(model, pieces, word, lang):
+    """The sum over all segmentations of a word into any pieces of the file, the expected
+    counts of its pieces, and their numbers."""
+    letters = (p for p in pieces if p and (p.removeprefix("▁") or "x").isalpha() and p == p.lower())
+    known = {p: k for k, p in enumerate(sorted(set(letters)))}
+    text, longest = "▁" + word, max(map(len, known))
+    ahead, behind = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+    edges = [
+        (i, i + k, known.get(text[i : i + k], -1))
+        for i in range(len(text)) for k in range(1, min(longest, len(text) - i) + 1)
+        if k == 1 or text[i : i + k] in known
+    ]
+    for i, j, piece in edges:
+        ahead[j] += ahead[i] * model.p[piece, lang]
+    for i, j, piece in reversed(edges):
+        behind[i] += behind[j] * model.p[piece, lang]
+    counts = {}
+    for i, j, piece in edges:
+        if piece >= 0:
+            use = ahead[i] * model.p[piece, lang] * behind[j] / ahead[-1]
+            counts[piece] = counts.get(piece, 0) + use
+    return ahead[-1], counts, known
+
+
+def test_all_pieces_take_part(pieces):
+    voc = language_id.vocabulary(pieces)
+    assert voc.longest == max(len(p) for p in pieces if p.removeprefix("▁").isalpha() and p == p.lower())
+    assert voc.longest > 10
+
+
+def test_expected_counts(pieces):
+    voc = language_id.vocabulary(pieces)
+    p = language_id._normalised(np.random.default_rng(1).random((voc.size + 1, 2)))
+    model = language_id.Model(["a", "b"], p, voc)
+    texts = ["the there, other", "weather the", "überhaupt" * 9 + " the", "日本 the"]
+    got = language_id._expected(p, voc, texts, np.array([0, 1, 1, 0]))
+    want = np.zeros_like(p)
+    for text, lang in zip(texts, (0, 1, 1, 0)):
+        for word in text.replace(",", "").split():
+            for piece, n in _by_hand(model, pieces, word, lang)[1].items():
+                want[piece, lang] += n
+    assert np.allclose(got, want)
+
+
+def test_texts_without_letters(spark, docs, pieces):
+    model = language_id.fit(docs, pieces)
+    signs = ["\U0001F600", "\u2764\uFE0F", "\u0301\u0308", "1\uFE0F\u20E3", "12 ٣", "...", "\U000E0101", " "]
+    letters = ["a", "日", "\U00020000", "\U0001F600 a", "e\u0301"]
+    got = language_id.predict(frame(spark, list(enumerate(signs + letters))), model).collect()
+    pred = [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert pred[: len(signs)] == ["und"] * len(signs)
+    assert "und" not in pred[len(signs) :]
+
+
+def test_repeated_rows_do_not_multiply_the_sample(spark, pieces):
+    rows = spark.createDataFrame(
+        [(1, "the same words", "en")] * 40 + [(2, "les mots", "fr"), (2, "des mots", "fr"), (3, None, "de")],
+        "doc_id long, text string, lang string",
+    )
+    once = language_id.fit(rows.dropDuplicates(), pieces)
+    assert once.langs == ["en", "fr"]
+    assert np.allclose(language_id.fit(rows, pieces).p, once.p)
 
 
 def test_awkward_rows(spark, docs, labels, pieces):
