@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ import oracles  # noqa: E402
 from repeatlens.operators import (  # noqa: E402
     access,
     adherence,
+    distinct,
     filters,
     messages,
     monitoring,
@@ -29,7 +32,7 @@ from repeatlens.operators import (  # noqa: E402
     stores,
     volumes,
 )
-from repeatlens.plans import reports  # noqa: E402
+from repeatlens.plans import reports, rollup  # noqa: E402
 from repeatlens.sources import export  # noqa: E402
 from repeatlens.sources.sample import DISPENSE_CLOCK, EVENT_CLOCK, sample_tables  # noqa: E402
 from repeatlens.sources.tables import Tables, load_tables, run_sql  # noqa: E402
@@ -75,14 +78,15 @@ def _exported(t: Tables, spark: SparkSession) -> DataFrame:
 
 
 def _sql_by_parameters(t: Tables, spark: SparkSession) -> DataFrame:
-    t.register(["sales"])
+    view = f"sales_{uuid.uuid4().hex}"  # a name of its own: the caller may have a view sales
+    t.sales.createOrReplaceTempView(view)
     result = run_sql(
         spark,
-        "SELECT StoreId, count(*) AS TotalSales FROM sales"
+        f"SELECT StoreId, count(*) AS TotalSales FROM {view}"
         " WHERE SalesDate >= :since GROUP BY StoreId",
         since="1998-01-01",
     )
-    spark.catalog.dropTempView("sales")
+    spark.catalog.dropTempView(view)
     return result
 
 
@@ -282,11 +286,45 @@ def _stored(t: Tables, spark: SparkSession) -> DataFrame:
     return monitoring.last_sale(load_tables(spark, folder).sales)
 
 
+def _rolled_up(t: Tables, spark: SparkSession, days: int | None = None) -> reports.Report:
+    """The volume page from a stored rollup of which one month was counted again."""
+    made = rollup.VolumeRollup(spark, export.shared_folder(spark, "rollup"), _D)
+    made.build(t.dispense).replace(t.dispense, [date(1998, 2, 15)])
+    return made.report(t, _D, days)
+
+
+def _merged_activity(t: Tables) -> DataFrame:
+    """Distinct patients and scripts of each store, merged from bitmaps of its years."""
+    rows = t.dispense.withColumn("year", F.year("DispensedDate"))
+
+    def years(column: str) -> DataFrame:
+        ids = distinct.dictionary(rows, "StoreId", column)
+        return distinct.bitmaps(rows, ids, "StoreId", column, per=["year"])
+
+    bits = [years(c) for c in ("PatPharmSysID", "OriginalScriptNumber")]
+    return stores.store_activity_of_bitmaps(t.stores, *bits)
+
+
 # The same for results that also need the session.
 _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "export_refills_csv": _exported,
     "load_tables": _stored,
     "run_sql": _sql_by_parameters,
+    "rollup_summary": lambda t, spark: _rolled_up(t, spark)["summary"],
+    "rollup_daily_trend": lambda t, spark: _rolled_up(t, spark)["daily_trend"],
+    "rollup_top_drugs": lambda t, spark: _rolled_up(t, spark)["top_drugs"],
+    "rollup_store_ranking": lambda t, spark: _rolled_up(t, spark, 90)["store_ranking"],
+    "store_activity_merged": lambda t, spark: _merged_activity(t),
+}
+
+# Keys of stored or merged forms -> the key whose statement checks them.
+_SAME_AS = {
+    "load_tables": "last_sale",
+    "rollup_summary": "dispense_summary",
+    "rollup_daily_trend": "daily_trend",
+    "rollup_top_drugs": "top_drugs",
+    "rollup_store_ranking": "store_ranking",
+    "store_activity_merged": "store_activity",
 }
 
 
@@ -314,7 +352,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     checks = oracles.all_sql()
-    checks["load_tables"] = checks["last_sale"]
+    checks |= {key: checks[check] for key, check in _SAME_AS.items()}
     checks |= {key: checks[check] for key, (_, check) in _panels().items()}
     if text_queries is not None:
         checks |= text_queries.ORACLE_SQL

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import time_text
 from ..functions.text import any_contains, short_brand, store_label
 from ..functions.values import active_flag, active_text, integration_text, or_zero
+from . import distinct
 from .filters import for_store, present
 from .monitoring import barcode_counts, heartbeat_pings, last_sale, stock_counts
 
@@ -149,7 +150,22 @@ def store_activity(stores: DataFrame, dispense: DataFrame, store_id=None) -> Dat
             F.countDistinct("OriginalScriptNumber").alias("scripts"),
         )
     )
-    return _onto_stores(stores, activity, "StoreId", store_id).select(
+    return _activity(stores, activity, store_id)
+
+
+def store_activity_of_bitmaps(
+    stores: DataFrame, patients: DataFrame, scripts: DataFrame, store_id=None
+) -> DataFrame:
+    """``store_activity`` from bitmaps of patients and of scripts (``distinct.bitmaps`` with
+    StoreId as the group) of any number of periods."""
+    counts = distinct.counted(for_store(patients, store_id), ["StoreId"], "patients").join(
+        distinct.counted(for_store(scripts, store_id), ["StoreId"], "scripts"), "StoreId", "full"
+    )
+    return _activity(stores, counts, store_id)
+
+
+def _activity(stores: DataFrame, counts: DataFrame, store_id) -> DataFrame:
+    return _onto_stores(stores, counts, "StoreId", store_id).select(
         F.col("PharmacyID").alias("StoreId"),
         F.col("CommercialName").alias("StoreName"),
         F.col("TimeZoneState").alias("State"),

@@ -103,6 +103,13 @@ def analytics_report(
     the panels they apply to: the trend has its own range, the store ranking shows
     all stores, patients and options are never filtered."""
     cells = _kept(volume_cells(t.dispense, as_of, days, schedule), keep)
+    options = t.dispense if schedule else cells
+    return Report(volume_panels(cells, options, t, store_id), cells)
+
+
+def volume_panels(cells: DataFrame, options: DataFrame, t: Tables, store_id=None) -> dict[str, DataFrame]:
+    """The panels of the volume page from counted ``cells``; ``options`` has the stores and
+    schedules to choose from."""
     mine = for_store(cells, store_id)
     picked = mine.where("_selected")
     count = F.sum("_rows")
@@ -119,7 +126,7 @@ def analytics_report(
         )
     )
     drug_order = [F.desc("totalDispensed"), F.asc("drugName"), F.asc_nulls_first("brandName")]
-    panels = {
+    return {
         "summary": picked.agg(
             or_zero(count).alias("totalDispenses"),
             or_zero(value).alias("totalValue"),
@@ -143,10 +150,9 @@ def analytics_report(
             [F.desc("count"), F.asc("storeId")],
         ),
         "gender_mix": volumes.gender_mix(t.patients),
-        "stores": stores.store_filter_options(t.dispense if schedule else cells, t.stores),
-        "schedules": volumes.schedule_options(t.dispense if schedule else cells),
+        "stores": stores.store_filter_options(options, t.stores),
+        "schedules": volumes.schedule_options(options),
     }
-    return Report(panels, cells)
 
 
 def adherence_report(
