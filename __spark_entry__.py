@@ -305,6 +305,12 @@ def _merged_activity(t: Tables) -> DataFrame:
     return stores.store_activity_of_bitmaps(t.stores, *bits)
 
 
+def _indexed_page(t: Tables, spark: SparkSession) -> DataFrame:
+    """The second page of the users, from a stored index."""
+    index = paging.PageIndex(spark, export.shared_folder(spark, "pages"), ["-CreatedDate", "Userid"])
+    return index.build(access.users_with_roles(t.users, t.roles)).page(2)
+
+
 # The same for results that also need the session.
 _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "export_refills_csv": _exported,
@@ -315,6 +321,7 @@ _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "rollup_top_drugs": lambda t, spark: _rolled_up(t, spark)["top_drugs"],
     "rollup_store_ranking": lambda t, spark: _rolled_up(t, spark, 90)["store_ranking"],
     "store_activity_merged": lambda t, spark: _merged_activity(t),
+    "page_rows_indexed": _indexed_page,
 }
 
 # Keys of stored or merged forms -> the key whose statement checks them.
@@ -325,6 +332,7 @@ _SAME_AS = {
     "rollup_top_drugs": "top_drugs",
     "rollup_store_ranking": "store_ranking",
     "store_activity_merged": "store_activity",
+    "page_rows_indexed": "page_rows",
 }
 
 
