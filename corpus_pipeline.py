@@ -15,15 +15,13 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatlens.llm import bpe, decontamination, line_dedup, near_dups, toxicity
 from repeatlens.llm.common import table
+from repeatlens.sources.export import shared_folder
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -74,8 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the documents of ``sf_dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
