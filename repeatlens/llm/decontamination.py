@@ -3,8 +3,8 @@
 A mask names which tokens of a window count; the others are ignored, so a substituted
 token under a gap does not hide a passage. Hashes of all masked windows of the documents
 are joined with those of the benchmark. Every hit fixes how document and item lie against
-each other (the diagonal); there, tokens are compared one by one, and the pair counts if a
-stretch of ``WINDOW`` tokens agrees in ``share`` of them.
+each other; around it, tokens are compared one by one, and the pair counts if a stretch of
+``WINDOW`` tokens that holds the hit agrees in ``share`` of them.
 
 The masks miss no such pair for a share of 0.8 or more: in 15 tokens with any 3 substituted
 at least one of ``MASKS`` fits between the substitutions, and so in every longer stretch and
@@ -74,6 +74,24 @@ def _seeds(rows: DataFrame, key: str, ends_only: bool) -> DataFrame:
     )
 
 
+def _contexts(marks: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, h, p, before, after, near): each mark with the tokens around it, as many as the
+    windows that hold the mark can reach: ``before`` tokens ahead of p, ``after`` from p on.
+
+    Marks of one text in equal surroundings compare alike with any other text, so only the
+    first of them is kept. A word or phrase repeated all through a text leaves a few marks.
+    """
+    side = WINDOW - 1
+    both = marks.join(rows, key).withColumn("n", F.size("tokens")).filter("p < n")
+    return (
+        both.withColumn("before", F.least("p", F.lit(side)).cast("int"))
+        .withColumn("after", F.expr(f"greatest(0, least(n - p, {WINDOW}))").cast("int"))
+        .withColumn("near", F.expr("slice(tokens, int(p) - before + 1, before + after)"))
+        .groupBy(key, "h", "before", "after", "near")
+        .agg(F.min("p").cast("int").alias("p"))
+    )
+
+
 def contaminated_pairs(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -97,45 +115,37 @@ def contaminated_pairs(
     train = texts(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     train = train.select("doc_id", tokens.alias("tokens"))
 
-    seeds = settled(
-        _seeds(tests, "item_id", False).select("item_id", F.col("p").alias("j"), "h").distinct()
-    )
-    probe = seeds
-    if seeds.count() <= BROADCAST_ROWS:
-        probe = F.broadcast(seeds)
+    items = settled(_contexts(_seeds(tests, "item_id", False), tests, "item_id"))
+    known = settled(items.select("h").distinct())
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     brief = tests.filter(F.size("tokens") < LEAST).limit(1).count() > 0
-    hits = settled(
-        _seeds(train, "doc_id", not brief)
-        .join(probe, "h")
-        .select("doc_id", "item_id", (F.col("p") - F.col("j")).alias("diagonal"))
-        .distinct()
-    )
+    marks = settled(_seeds(train, "doc_id", not brief).join(known, "h", "left_semi").distinct())
+    hits = _contexts(marks, train, "doc_id").alias("d").join(items.alias("i"), "h")
 
-    both = hits.join(train, "doc_id").join(tests.withColumnRenamed("tokens", "items"), "item_id")
-    both = both.withColumns(
-        {
-            "from_doc": F.greatest(F.col("diagonal"), F.lit(0)),
-            "from_item": F.greatest(-F.col("diagonal"), F.lit(0)),
-        }
-    )
-    length = F.least(
-        F.size("tokens") - F.col("from_doc"), F.size("items") - F.col("from_item")
-    )
-    both = both.withColumn("length", length).filter("length >= 8")
-    both = both.withColumn(
-        "same",
+    # What document and item have in common around the hit.
+    hits = hits.withColumns(
+        {"back": F.least("d.before", "i.before"), "ahead": F.least("d.after", "i.after")}
+    ).select(
+        "doc_id",
+        "item_id",
+        (F.col("d.p") - F.col("back")).alias("from_doc"),
+        (F.col("i.p") - F.col("back")).alias("from_item"),
+        "back",
+        (F.col("back") + F.col("ahead")).alias("length"),
         F.expr(
-            "zip_with(slice(tokens, from_doc + 1, length), slice(items, from_item + 1, length),"
+            "zip_with(slice(d.near, d.before - back + 1, back + ahead),"
+            " slice(i.near, i.before - back + 1, back + ahead),"
             " (x, y) -> if(x = y, 1, 0))"
-        ),
-    ).withColumn("width", F.least("length", F.lit(WINDOW)))
-    both = both.select("doc_id", "item_id", "from_doc", "from_item", "length", "width", "same")
+        ).alias("same"),
+    )
+    hits = hits.filter("length >= 8").withColumn("width", F.least("length", F.lit(WINDOW)))
     best = F.expr(
-        "array_max(transform(slice(same, 1, length - width + 1), (y, s) -> struct("
+        "array_max(transform(sequence(0, least(back, length - width)), s -> struct("
         "aggregate(slice(same, s + 1, width), 0, (a, x) -> a + x) AS matched, -s AS s)))"
     )
     # The threshold comes after the aggregate, below which it would be computed twice.
-    scored = both.withColumn("best", best)
+    scored = hits.withColumn("best", best)
     found = scored.groupBy("doc_id", "item_id").agg(
         F.max(
             F.struct(

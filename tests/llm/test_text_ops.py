@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import xxhash
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ def test_contamination(spark):
     words = item.split()
     changed = " ".join("other" if k % 9 == 4 else w for k, w in enumerate(words))
     docs = [
-        *((i, t) for i, t in AWKWARD if i != 6),
+        *AWKWARD,
         (20, "before it " + item + " after it"),
         (21, "x " * 30 + changed),
         (22, " ".join(words[::-1])),
@@ -140,6 +141,31 @@ def test_contamination(spark):
     assert decontamination.contaminated_pairs(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_contamination_of_repeated_words(spark):
+    rng = random.Random(4)
+    shapes = ["a", "a b", "a a b", "a b c a b d"]
+    texts = [(s + " ") * rng.randint(1, 25) + "z y " * rng.randint(0, 2) for s in shapes * 3]
+    texts += [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 40))) for _ in range(20)]
+    docs = list(enumerate(texts))
+    items = [(k, t) for k, t in enumerate(reversed(texts)) if k % 2]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated_pairs(frame(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == _contaminated(docs, items)
+    for r in got:  # the stretch is where the row says
+        w = _tokens(texts[r["doc_id"]])[r["doc_start"] :][: r["compared"]]
+        t = _tokens(dict(items)[r["item_id"]])[r["item_start"] :][: r["compared"]]
+        assert sum(x == y for x, y in zip(w, t, strict=True)) == r["matched"] == r["overlap"] * r["compared"]
+
+
+def test_one_word_repeated_through_a_long_text(spark):
+    rows = [(1, "word " * 300_000), (2, "w x " * 100_000 + "word " * 9)]
+    bench = spark.createDataFrame([(1, "word " * 50), (2, "x w " * 40)], "item_id long, text string")
+    started = time.monotonic()
+    got = decontamination.contaminated_pairs(frame(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (2, 1)}
+    assert time.monotonic() - started < 60
+
+
 def _deduped(rows):
     seen, out = set(), {}
     for i, text in sorted(rows):
