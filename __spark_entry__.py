@@ -33,9 +33,9 @@ from repeatlens.operators import (  # noqa: E402
     volumes,
 )
 from repeatlens.plans import reports, rollup  # noqa: E402
-from repeatlens.sources import export  # noqa: E402
+from repeatlens.sources import export, seeding  # noqa: E402
 from repeatlens.sources.sample import DISPENSE_CLOCK, EVENT_CLOCK, sample_tables  # noqa: E402
-from repeatlens.sources.tables import Tables, load_tables, run_sql  # noqa: E402
+from repeatlens.sources.tables import Tables, first_that_runs, load_tables, run_sql  # noqa: E402
 
 try:  # the text operators are an optional part
     from repeatlens.llm import queries as text_queries  # noqa: E402
@@ -162,6 +162,9 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "build_patient_contacts": lambda t: refills.build_patient_contacts(t.patients, _D).select(
         "patientid", "storeid", "contactemail"
     ),
+    "dense_patient_contacts": lambda t: refills.build_patient_contacts(
+        t.patients, _D, dense=True
+    ).select("id", "patientid", "storeid", "contactemail"),
     "dispense_with_contact": lambda t: refills.dispense_with_contact(
         t.dispense, t.contacts
     ).select("StoreId", "PatPharmSysID", "ScriptNo", "DispensedDate", "ContactEmail"),
@@ -286,6 +289,41 @@ def _stored(t: Tables, spark: SparkSession) -> DataFrame:
     return monitoring.last_sale(load_tables(spark, folder).sales)
 
 
+def _warehouse(t: Tables, spark: SparkSession) -> DataFrame:
+    """The last dispense of every store, from a warehouse in a folder of its own."""
+    folder = export.shared_folder(spark, "warehouse")
+    export.save_table(t.dispense_transactions, f"{folder}/dispense_transactions.parquet")
+    loaded = load_tables(spark, f"{folder}/none", warehouse=folder)
+    return monitoring.last_dispense(loaded.dispense_transactions)
+
+
+def _seeded(t: Tables, spark: SparkSession) -> DataFrame:
+    """Patients who dispensed, then the users who are not among them; both sent twice."""
+    users = t.users.select("Userid", "Username")
+    folder = export.shared_folder(spark, "seeded")
+    made = seeding.SeededTable(spark, folder, users.schema, ["Userid"])
+    patients = filters.present(t.dispense, "PatPharmSysID").select(
+        F.col("PatPharmSysID").cast("bigint").alias("Userid"), F.lit(None).alias("Username")
+    )
+    for _ in range(2):
+        made.seed("patients", patients.distinct())
+        made.seed("users", users)
+    return made.read()
+
+
+def _counted_by_fallback(t: Tables, spark: SparkSession) -> DataFrame:
+    """Patients of every store from a patient table that is not there, so from dispenses."""
+    nowhere = load_tables(spark, export.shared_folder(spark, "nowhere"))
+    found = first_that_runs(
+        spark,
+        {
+            "patients": lambda: stores.registered_patients(nowhere.wh_patients),
+            "dispenses": lambda: stores.dispensed_patients(t.dispense_transactions),
+        },
+    )
+    return found.withColumn("Failed", F.split("Reason", ":")[0]).drop("Reason")
+
+
 def _rolled_up(t: Tables, spark: SparkSession, days: int | None = None) -> reports.Report:
     """The volume page from a stored rollup of which one month was counted again."""
     made = rollup.VolumeRollup(spark, export.shared_folder(spark, "rollup"), _D)
@@ -322,6 +360,9 @@ _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "rollup_store_ranking": lambda t, spark: _rolled_up(t, spark, 90)["store_ranking"],
     "store_activity_merged": lambda t, spark: _merged_activity(t),
     "page_rows_indexed": _indexed_page,
+    "warehouse_last_dispense": _warehouse,
+    "seeded_table": _seeded,
+    "patient_count_of_sources": _counted_by_fallback,
 }
 
 # Keys of stored or merged forms -> the key whose statement checks them.

@@ -606,6 +606,26 @@ QUERIES = {
     "not_exists_insert": """
         SELECT Userid, Username FROM users u
         WHERE NOT EXISTS (SELECT 1 FROM dispense d WHERE CAST(d.PatPharmSysID AS BIGINT) = u.Userid)""",
+    "seeded_table": """
+        SELECT DISTINCT CAST(PatPharmSysID AS BIGINT) AS Userid, CAST(NULL AS VARCHAR) AS Username
+        FROM dispense WHERE PatPharmSysID IS NOT NULL
+        UNION ALL
+        SELECT Userid, Username FROM users u
+        WHERE NOT EXISTS (SELECT 1 FROM dispense d WHERE CAST(d.PatPharmSysID AS BIGINT) = u.Userid)""",
+    "dense_patient_contacts": """
+        SELECT row_number() OVER (ORDER BY patientid, storeid) AS id, patientid, storeid, contactemail
+        FROM contacts""",
+    "patient_count_of_sources": """
+        SELECT CAST(StoreId AS VARCHAR) AS StoreId, count(DISTINCT PatPharmSysID) AS TotalPatients,
+               'dispenses' AS Source, 'patients' AS Failed
+        FROM dispense WHERE StoreId IS NOT NULL GROUP BY StoreId""",
+    "warehouse_last_dispense": f"""
+        SELECT CAST(StoreId AS VARCHAR) AS StoreId, strftime(DispensedDate, {_SECONDS}) AS LastDispenseDate,
+               ScriptNo, Drugname, PatPharmSysID, TotalRecords
+        FROM (SELECT *, count(*) OVER (PARTITION BY StoreId) AS TotalRecords,
+                     row_number() OVER (PARTITION BY StoreId
+                         ORDER BY DispensedDate DESC, ScriptNo DESC, Drugname DESC) AS rn FROM dispense)
+        WHERE rn = 1""",
     "page_rows": "SELECT * FROM users_roles ORDER BY CreatedDate DESC, Userid LIMIT 20 OFFSET 20",
     "page_count": """
         SELECT count(*) AS total_rows, CAST(greatest(ceil(count(*) / 20.0), 1) AS BIGINT) AS total_pages

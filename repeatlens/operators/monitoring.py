@@ -32,7 +32,8 @@ def last_sale(sales: DataFrame, store_id=None) -> DataFrame:
 
 
 def last_dispense(dispense: DataFrame, store_id=None) -> DataFrame:
-    """The newest dispense of every store and its number of dispenses.
+    """The newest dispense of every store and its number of dispenses, from the dispenses
+    of either database.
 
     Date and number come out of one hash aggregate, combined before the shuffle; only the
     rows of a store's last moment are then compared for the newest one.
@@ -42,7 +43,8 @@ def last_dispense(dispense: DataFrame, store_id=None) -> DataFrame:
         F.max("DispensedDate").alias("_last"), F.count("*").alias("TotalRecords")
     )
     at_last = (F.col("StoreId") == F.col("_store")) & F.col("DispensedDate").eqNullSafe(F.col("_last"))
-    order = [F.col(c).desc_nulls_last() for c in ("ScriptNo", "DrugVal", "Drugname", "PatPharmSysID")]
+    ties = ("ScriptNo", "DrugVal", "Drugname", "PatPharmSysID")
+    order = [F.col(c).desc_nulls_last() for c in ties if c in dispense.columns]
     return first_per_group(rows.join(last, at_last), ["StoreId"], order).select(
         "StoreId",
         time_text(F.col("_last")).alias("LastDispenseDate"),

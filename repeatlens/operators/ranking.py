@@ -94,6 +94,24 @@ def running_sums(
     )
 
 
+def dense_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """``df`` with the numbers 1, 2, ... of its rows in this order, nulls first.
+
+    Rows must differ in ``order``. Two passes: the rows are sorted into ranges, stored and
+    counted by range, then every range numbers its own rows after the sum of the counts
+    before it. Only those sums, one row a range, meet in one task and are broadcast. The
+    order fixes the numbers, so a task that is run again gives the same ones.
+    """
+    by = [F.col(column).asc_nulls_first() for column in order]
+    ranges = stored(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = before.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    numbered = ranges.withColumn("_place", place).join(F.broadcast(before), "_range")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def number_rows(
     df: DataFrame, group: list[str], order: list[str], copies: str | None = None
 ) -> DataFrame:

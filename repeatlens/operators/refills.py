@@ -16,7 +16,7 @@ from ..functions.clock import (
     to_clock,
 )
 from .filters import for_store, matched, present, recent_window
-from .ranking import DISPENSE_TIES, first_per_group, newest_first
+from .ranking import DISPENSE_TIES, dense_ids, first_per_group, newest_first
 from .volumes import per_store
 
 # Days from a dispense to its predicted refill, and how far back
@@ -37,19 +37,25 @@ URGENCY_CLASSES = (
 REFILL_KEYS = ("StoreId", "PatPharmSysID", "Drugname")
 
 
-def build_patient_contacts(patients: DataFrame, as_of: Clock) -> DataFrame:
+def build_patient_contacts(patients: DataFrame, as_of: Clock, dense: bool = False) -> DataFrame:
     """One contact row per patient and store, with a synthetic address.
 
-    The id is unique but not dense: numbering without gaps would need all rows in
-    one task. Save the result before using the ids, they are drawn per run.
+    The id is unique and drawn per run: save the result before using it. With ``dense``
+    ids are 1, 2, ... by patient and store, the same in every run; that stores the
+    patients in sorted ranges first.
     """
     known = present(patients, "dispenseid").select(
         F.col("dispenseid").cast("string").alias("patientid"),
         F.col("storeid").cast("long").alias("storeid"),
     )
     email = F.concat(F.lit("patient"), F.col("patientid"), F.lit("@example.com"))
-    return known.distinct().select(
-        F.monotonically_increasing_id().alias("id"),
+    known = known.distinct()
+    if dense:
+        known = dense_ids(known, ["patientid", "storeid"])
+    else:
+        known = known.withColumn("id", F.monotonically_increasing_id())
+    return known.select(
+        "id",
         "patientid",
         "storeid",
         email.alias("contactemail"),

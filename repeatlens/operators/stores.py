@@ -205,6 +205,25 @@ def patient_count_fallback(
     )
 
 
+def registered_patients(wh_patients: DataFrame, store_id=None) -> DataFrame:
+    """Distinct patients per store by the patient table."""
+    return _patients(wh_patients, "PatientId", store_id)
+
+
+def dispensed_patients(dispense: DataFrame, store_id=None) -> DataFrame:
+    """Distinct patients per store by the dispenses, for when the patient table can not be
+    read (``tables.first_that_runs`` picks the first of both that can)."""
+    return _patients(dispense, "PatPharmSysID", store_id)
+
+
+def _patients(df: DataFrame, patient: str, store_id) -> DataFrame:
+    return (
+        present(for_store(df, store_id), "StoreId")
+        .groupBy(F.col("StoreId").cast("string").alias("StoreId"))
+        .agg(F.countDistinct(patient).alias("TotalPatients"))
+    )
+
+
 def store_360(
     stores: DataFrame,
     sales: DataFrame,

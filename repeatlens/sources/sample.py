@@ -70,6 +70,7 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "stock": stock,
         "ean_links": ean_links,
         "wh_patients": wh_patients,
+        "dispense_transactions": dispense_transactions,
         "errors": errors,
         "pings": pings,
         "users": users,
@@ -191,6 +192,13 @@ def wh_patients(source) -> DataFrame:
     )
 
 
+def dispense_transactions(source) -> DataFrame:
+    """The dispenses as the warehouse holds them: fewer columns, store ids as text."""
+    return dispense(source).selectExpr(
+        "CAST(StoreId AS STRING) AS StoreId", "PatPharmSysID", "DispensedDate", "ScriptNo", "Drugname"
+    )
+
+
 def errors(source) -> DataFrame:
     return source("events").selectExpr(
         "CAST(user_id % 10 AS STRING) AS PharmacyId",

@@ -134,10 +134,17 @@ SCHEMAS: dict[str, StructType] = {
         StoreId=STRING,
         PatientId=LONG,
     ),
+    "dispense_transactions": _table(
+        StoreId=STRING,
+        PatPharmSysID=STRING,
+        DispensedDate=TIME,
+        ScriptNo=LONG,
+        Drugname=STRING,
+    ),
 }
 
 # Tables of the sales and stock warehouse; all others belong to the configuration database.
-WAREHOUSE_TABLES = ("sales", "stock", "ean_links", "wh_patients")
+WAREHOUSE_TABLES = ("sales", "stock", "ean_links", "wh_patients", "dispense_transactions")
 
 
 def conform(df: DataFrame, schema: StructType, name: str = "table") -> DataFrame:

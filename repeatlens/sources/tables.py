@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .export import stored
 from .schemas import SCHEMAS, WAREHOUSE_TABLES, conform
 
 Loader = Callable[[], DataFrame]
@@ -66,6 +69,36 @@ def load_tables(
     return Tables({name: loader(name) for name in SCHEMAS})
 
 
+def first_that_runs(spark: SparkSession, sources: Mapping[str, Loader]) -> DataFrame:
+    """The result of the first source that can be computed as a whole, with the columns
+    ``Source``, its name, and ``Reason``: why each earlier one failed (null if none did).
+
+    A file may turn out to be broken in the middle of a job, so a look at the schema proves
+    nothing: each result is computed and stored before it counts. Meant for grouped results.
+    Only failures of Spark's own count (a missing or unreadable source, a column that is not
+    there); if all sources fail, the last failure is raised. The results must have the same
+    columns.
+    """
+    reasons, failure = [], None
+    for name, build in sources.items():
+        try:
+            result = stored(build())
+        except (PySparkException, Py4JJavaError) as caught:
+            failure = caught
+            reasons.append(f"{name}: {_brief(caught)}")
+            continue
+        reason = F.lit("; ".join(reasons) if reasons else None).cast("string")
+        return result.withColumn("Source", F.lit(name)).withColumn("Reason", reason)
+    raise failure or ValueError("no source is given")
+
+
+def _brief(failure: Exception) -> str:
+    """The first line that tells what was wrong."""
+    condition = failure.getCondition() if isinstance(failure, PySparkException) else None
+    lines = str(failure).strip().splitlines()
+    return condition or (lines[0] if lines else type(failure).__name__)
+
+
 @dataclass(frozen=True)
 class Split:
     """How a database table is read in parallel: equal ranges of a number, date or
