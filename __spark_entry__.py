@@ -29,10 +29,11 @@ from repeatlens.operators import (  # noqa: E402
     paging,
     profile,
     refills,
+    rules,
     stores,
     volumes,
 )
-from repeatlens.plans import reports, rollup  # noqa: E402
+from repeatlens.plans import refill_state, reports, rollup  # noqa: E402
 from repeatlens.sources import export, seeding  # noqa: E402
 from repeatlens.sources.sample import DISPENSE_CLOCK, EVENT_CLOCK, sample_tables  # noqa: E402
 from repeatlens.sources.tables import Tables, first_that_runs, load_tables, run_sql  # noqa: E402
@@ -324,6 +325,24 @@ def _counted_by_fallback(t: Tables, spark: SparkSession) -> DataFrame:
     return found.withColumn("Failed", F.split("Reason", ":")[0]).drop("Reason")
 
 
+def _flagged_by_table(t: Tables, spark: SparkSession) -> DataFrame:
+    """The errors under rules that are read from a stored table."""
+    path = export.shared_folder(spark, "rules")
+    rules.rules_table(spark, _rules()).write.parquet(path)
+    flagged = rules.flag_errors_by_table(t.errors, spark.read.parquet(path))
+    return flagged.select("ErrorID", "ErrorMessage", "IsIgnored", "IgnoreReason")
+
+
+def _refill_state(t: Tables, spark: SparkSession) -> refill_state.RefillState:
+    """The state of the later dispenses, to which the earlier ones were added twice."""
+    late = F.coalesce(F.col("DispensedDate") >= F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(False))
+    made = refill_state.RefillState(spark, export.shared_folder(spark, "refill-state"), buckets=8)
+    made = made.build(t.dispense.where(late), t.contacts)
+    for _ in range(2):
+        made = made.add(t.dispense.where(~late), export.shared_folder(spark, "refill-state"))
+    return made
+
+
 def _rolled_up(t: Tables, spark: SparkSession, days: int | None = None) -> reports.Report:
     """The volume page from a stored rollup of which one month was counted again."""
     made = rollup.VolumeRollup(spark, export.shared_folder(spark, "rollup"), _D)
@@ -363,6 +382,9 @@ _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "warehouse_last_dispense": _warehouse,
     "seeded_table": _seeded,
     "patient_count_of_sources": _counted_by_fallback,
+    "flag_ignored_errors_by_table": _flagged_by_table,
+    "refill_state_predictions": lambda t, spark: _refill_state(t, spark).predictions(_D, REFILL_DAYS),
+    "refill_state_summary": lambda t, spark: _refill_state(t, spark).summary(_D, REFILL_DAYS),
 }
 
 # Keys of stored or merged forms -> the key whose statement checks them.
@@ -374,6 +396,9 @@ _SAME_AS = {
     "rollup_store_ranking": "store_ranking",
     "store_activity_merged": "store_activity",
     "page_rows_indexed": "page_rows",
+    "flag_ignored_errors_by_table": "flag_ignored_errors",
+    "refill_state_predictions": "refill_predictions",
+    "refill_state_summary": "refill_summary",
 }
 
 

@@ -139,13 +139,17 @@ def due_refills(
     rows = present(rows.where(F.col("TotalRepeats") > 1), "PatPharmSysID", "StoreId")
     if require_drug:
         rows = present(rows, "Drugname")
-    due = (
-        latest_dispense(rows)
-        .where(F.col("RepeatNo") < F.col("TotalRepeats"))
+    due = due_of_latest(latest_dispense(rows), as_of, days)
+    return dispense_with_contact(due, for_store(contacts, store_id, "storeid"))
+
+
+def due_of_latest(latest: DataFrame, as_of: Clock, days: int) -> DataFrame:
+    """Of latest dispenses those with repeats left whose refill falls due."""
+    return (
+        latest.where(F.col("RepeatNo") < F.col("TotalRepeats"))
         .withColumn("PredictedRefillDate", plus_days(F.col("DispensedDate"), REFILL_AFTER_DAYS))
         .where(F.col("PredictedRefillDate") <= moment(shifted(as_of, int(days))))
     )
-    return dispense_with_contact(due, for_store(contacts, store_id, "storeid"))
 
 
 def refill_predictions(

@@ -41,8 +41,13 @@ def refill_csv_rows(refills: DataFrame, with_store: bool = False) -> DataFrame:
 def export_refills_csv(refills: DataFrame, path: str, per_store: bool = False) -> str:
     """Write the refill list as CSV with a header and return the path.
 
-    One folder per store with ``per_store``. Quotes inside text are doubled.
+    One folder per store with ``per_store``; then rows are dealt by ranges of store and
+    order, so a store is in few files and a large one is written by several tasks. Quotes
+    inside text are doubled.
     """
+    if per_store:
+        by = ["StoreId", "PredictedRefillDate", "PatientId", "Drugname"]
+        refills = refills.repartitionByRange(*by).sortWithinPartitions(*by)
     rows = refill_csv_rows(refills, per_store)
     writer = rows.write.mode("overwrite").option("header", True).option("escape", '"')
     if per_store:
