@@ -1,9 +1,12 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from repeatlens.llm import queries, toxicity
+from tests.llm.cases import AWKWARD
 from tests.llm.test_near_dups import _brute
 from tests.llm.test_text_ops import _contaminated, _deduped
 
@@ -39,6 +42,25 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def _with_nulls(df):
+    """The rows and one that is null in every column."""
+    return df.unionByName(df.limit(1).select(*(F.lit(None).cast(t).alias(n) for n, t in df.dtypes)))
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(None if i is None else i + 1_000_000, t) for i, t in AWKWARD]
+    awkward = spark.createDataFrame(rows, "doc_id long, text string")
+    more = docs.unionByName(awkward, allowMissingColumns=True)
+    _with_nulls(more).withColumn("kept", F.lit(None).cast("boolean")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        _with_nulls(spark.read.parquet(f"{SF}/{name}.parquet")).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect())
+    plain = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect())
+    # Clean rows stay, also those without an id or a text, and as often as they were there.
+    assert got == plain + Counter(i for i, _ in rows) + Counter([None])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):
     out = queries.QUERIES[name](spark, SF)
