@@ -334,13 +334,11 @@ def _flagged_by_table(t: Tables, spark: SparkSession) -> DataFrame:
 
 
 def _refill_state(t: Tables, spark: SparkSession) -> refill_state.RefillState:
-    """The state of the later dispenses, to which the earlier ones were added twice."""
+    """The state of the later dispenses, to which the earlier ones were added."""
     late = F.coalesce(F.col("DispensedDate") >= F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(False))
     made = refill_state.RefillState(spark, export.shared_folder(spark, "refill-state"), buckets=8)
     made = made.build(t.dispense.where(late), t.contacts)
-    for _ in range(2):
-        made = made.add(t.dispense.where(~late), export.shared_folder(spark, "refill-state"))
-    return made
+    return made.add(t.dispense.where(~late), export.shared_folder(spark, "refill-state"))
 
 
 def _rolled_up(t: Tables, spark: SparkSession, days: int | None = None) -> reports.Report:
