@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from repeatlens.llm.common import settled
 
 
+# A vertex that holds more than one in HEAVY of the rows counts as heavy: fewer than HEAVY can.
+HEAVY = 1000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component``, the smallest id reachable, of every end of ``edges`` (a, b: long).
 
     Alternates large-star and small-star steps (Kiveris and others, 2014): each vertex hands
     its neighbours to its smallest neighbour, until the edges form stars. The number of
     rounds grows with the logarithm of the longest path. Every step is a minimum that is
-    combined before the shuffle, and a join that adaptive execution may split at a hot
-    vertex. Each round is cut off at a checkpoint; the driver sees one sum a round.
+    combined before the shuffle, and a join in which no vertex is a large share of a task
+    (``_with_least``). Each step is cut off at a checkpoint; the driver sees one sum a round.
+    Repeated edges and loops count once and not at all; no edges give no rows.
     """
     star = settled(
         edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w"))
@@ -24,7 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        star = settled(_small_star(_large_star(star)))
+        star = settled(_small_star(settled(_large_star(star))))
         now = star.agg(
             F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(v, w))").alias("x")
         ).first()
@@ -36,21 +41,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _with_least(rows: DataFrame) -> DataFrame:
+    """``rows`` (v, w) with the ``least`` w of their v.
+
+    Rows of heavy vertices stay in the tasks they are in: these vertices are sent to them, as
+    they are fewer than HEAVY whatever the input. The rows of the others are shuffled.
+    """
+    least = rows.groupBy("v").agg(F.min("w").alias("least"), F.count(F.lit(1)).alias("m"))
+    heavy = least.filter(F.col("m") * HEAVY > least.select(F.sum("m")).scalar()).drop("m")
+    others = rows.join(F.broadcast(heavy.select("v")), "v", "left_anti")
+    return (
+        rows.join(F.broadcast(heavy), "v")
+        .union(others.join(least.drop("m"), "v"))
+        .select("v", "w", "least")
+    )
+
+
 def _large_star(star: DataFrame) -> DataFrame:
     """Every vertex links its larger neighbours to its smallest one."""
     both = star.select("v", "w").union(star.select(F.col("w").alias("v"), F.col("v").alias("w")))
-    least = both.groupBy("v").agg(F.min("w").alias("least"))
-    least = least.select("v", F.least("v", "least").alias("least"))
     return (
-        both.join(least, "v")
+        _with_least(both)
         .filter("w > v")
-        .select(F.col("w").alias("v"), F.col("least").alias("w"))
+        .select(F.col("w").alias("v"), F.least("v", "least").alias("w"))
         .distinct()
     )
 
 
 def _small_star(star: DataFrame) -> DataFrame:
     """Every vertex links its smaller neighbours, and itself, to its smallest one."""
-    least = star.groupBy("v").agg(F.min("w").alias("least"))
-    linked = star.join(least, "v").select(F.col("w").alias("v"), F.col("least").alias("w"))
-    return linked.union(least.select("v", F.col("least").alias("w"))).filter("v > w").distinct()
+    linked = _with_least(star).select(F.col("w").alias("v"), F.col("least").alias("w"))
+    itself = star.groupBy("v").agg(F.min("w").alias("w"))
+    return linked.union(itself).filter("v > w").distinct()

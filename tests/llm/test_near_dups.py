@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from repeatlens.llm import near_dups
-from repeatlens.llm.components import connected_components
+from repeatlens.llm.components import _with_least, connected_components
 from tests.llm.cases import AWKWARD, frame
 
 
@@ -92,3 +92,20 @@ def test_components(spark):
     want = _components([p for p in pairs if p[0] != p[1]], {i for p in pairs if p[0] != p[1] for i in p})
     assert got == want
     assert connected_components(edges.filter(F.lit(False))).count() == 0
+
+
+def test_heavy_vertices_stay_in_their_tasks(spark):
+    """One vertex with most edges, among 3,000 light ones, some linked to it only by a chain."""
+    pairs = [(7, 10_000 + i) for i in range(3000)] + [(50_000 + i, 50_001 + i) for i in range(20)]
+    pairs += [(10_005, 50_000), (90_000, 90_001), (90_001, 90_001), (90_000, 90_001)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {x["id"]: x["component"] for x in connected_components(edges).collect()}
+    assert got == _components(pairs, {i for p in pairs for i in p})
+    rows = edges.select(F.col("a").alias("v"), F.col("b").alias("w"))
+    found = _with_least(rows)
+    least = {}
+    for a, b in pairs:
+        least[a] = min(least.get(a, b), b)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, least[a]) for a, b in pairs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and "LeftAnti" in plan
