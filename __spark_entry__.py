@@ -31,6 +31,7 @@ from repeatlens.operators import (  # noqa: E402
     refills,
     rules,
     stores,
+    text_index,
     volumes,
 )
 from repeatlens.plans import refill_state, reports, rollup  # noqa: E402
@@ -366,6 +367,28 @@ def _indexed_page(t: Tables, spark: SparkSession) -> DataFrame:
     return index.build(access.users_with_roles(t.users, t.roles)).page(2)
 
 
+def _drugs_by_index(t: Tables, spark: SparkSession) -> DataFrame:
+    """The filtered dispenses, their drug found among the distinct names."""
+    index = text_index.TextIndex(spark, export.shared_folder(spark, "drugs"), ["Drugname"], ["Drugname"])
+    index.add(t.dispense)
+    found = filters.dispense_filter(t.dispense, _D, days=365, schedule="ECONOMY", min_repeats=3)
+    return index.search(found, "RING", wildcards=True)
+
+
+def _users_by_index(t: Tables, spark: SparkSession) -> DataFrame:
+    listed = access.users_with_roles(t.users, t.roles)
+    columns = ["Firstname", "Lastname", "Username", "Email", "RoleName"]
+    index = text_index.TextIndex(spark, export.shared_folder(spark, "users"), ["Userid"], columns)
+    return index.add(listed).search(listed, "analyst")
+
+
+def _stores_by_index(t: Tables, spark: SparkSession) -> DataFrame:
+    listed = stores.store_list(t.stores)
+    columns = ["PharmacyID", "StoreName", "State"]
+    index = text_index.TextIndex(spark, export.shared_folder(spark, "stores"), ["PharmacyID"], columns)
+    return index.add(listed).search(listed, "chemist")
+
+
 # The same for results that also need the session.
 _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "export_refills_csv": _exported,
@@ -377,6 +400,9 @@ _SESSION_QUERIES: dict[str, Callable[[Tables, SparkSession], DataFrame]] = {
     "rollup_store_ranking": lambda t, spark: _rolled_up(t, spark, 90)["store_ranking"],
     "store_activity_merged": lambda t, spark: _merged_activity(t),
     "page_rows_indexed": _indexed_page,
+    "dispense_filter_indexed": _drugs_by_index,
+    "search_users_indexed": _users_by_index,
+    "search_stores_indexed": _stores_by_index,
     "warehouse_last_dispense": _warehouse,
     "seeded_table": _seeded,
     "patient_count_of_sources": _counted_by_fallback,
@@ -394,6 +420,9 @@ _SAME_AS = {
     "rollup_store_ranking": "store_ranking",
     "store_activity_merged": "store_activity",
     "page_rows_indexed": "page_rows",
+    "dispense_filter_indexed": "dispense_filter",
+    "search_users_indexed": "search_users",
+    "search_stores_indexed": "search_stores",
     "flag_ignored_errors_by_table": "flag_ignored_errors",
     "refill_state_predictions": "refill_predictions",
     "refill_state_summary": "refill_summary",

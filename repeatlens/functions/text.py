@@ -51,3 +51,12 @@ def preview(text: Column, width: int = 60) -> Column:
 def file_slug(name: str) -> str:
     """A store name as part of a file name: anything but ASCII letters and digits becomes a dash."""
     return "".join(ch if ch.isascii() and ch.isalnum() else "-" for ch in name)
+
+
+def letter_runs(letters: str, size: str) -> str:
+    """SQL for the distinct runs of ``size`` elements of an array of letters; one empty run for size 0."""
+    return (
+        f"array_distinct(transform(slice(sequence(1, size({letters}) + 1), 1,"
+        f" greatest(0, if({size} = 0, 1, size({letters}) - {size} + 1))),"
+        f" i -> array_join(slice({letters}, i, {size}), '')))"
+    )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import letter_runs
 from .filters import matched
 from .monitoring import IgnoreRule, usable_regex
 
@@ -23,15 +24,6 @@ def rules_table(spark: SparkSession, rules: list[IgnoreRule]) -> DataFrame:
     return spark.createDataFrame(rows, RULES)
 
 
-def _pieces(letters: str, size: str) -> str:
-    """The distinct runs of ``size`` letters; one empty piece for size 0."""
-    return (
-        f"array_distinct(transform(slice(sequence(1, size({letters}) + 1), 1,"
-        f" greatest(0, if({size} = 0, 1, size({letters}) - {size} + 1))),"
-        f" i -> array_join(slice({letters}, i, {size}), '')))"
-    )
-
-
 def _folded(text: Column, case_sensitive: bool) -> Column:
     return text if case_sensitive else F.lower(text)
 
@@ -79,12 +71,12 @@ def _by_substring(said: DataFrame, rules: DataFrame, case_sensitive: bool) -> Da
         .withColumn("_letters", F.expr("filter(split(_pattern, ''), x -> x != '')"))
     )
     parts = patterns.select(
-        "_pattern", "_rule", "_size", F.explode(F.expr(_pieces("_letters", "_size"))).alias("_piece")
+        "_pattern", "_rule", "_size", F.explode(F.expr(letter_runs("_letters", "_size"))).alias("_piece")
     )
     sizes = [row["_size"] for row in patterns.select("_size").distinct().collect()]  # at most 5
     text = said.select("_said", _folded(F.col("_message"), case_sensitive).alias("_text"))
     letters = text.withColumn("_letters", F.expr("filter(split(_text, ''), x -> x != '')"))
-    lists = [F.expr(_pieces("_letters", str(size))) for size in sizes]
+    lists = [F.expr(letter_runs("_letters", str(size))) for size in sizes]
     every = F.concat(*lists) if lists else F.array().cast("array<string>")
     pieces = letters.select("_said", F.explode(every).alias("_piece"))
 
