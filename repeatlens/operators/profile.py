@@ -15,10 +15,12 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, nullability, nulls, distinct values, smallest and largest value of
     every column. Columns hold plain values, no arrays, maps or structs.
 
-    The table is read once: every row becomes (position, value) rows with one value column
-    for each data type, which are counted per value before the shuffle, so a value that
-    fills a third of a column travels once per task. ``approximate`` counts distinct values
-    with a sketch, which leaves one row per column and task to shuffle.
+    Each column of a stored table is read apart, so the table is read once in all and no row
+    is multiplied. A column is counted per value before the shuffle: a value that fills a
+    third of it travels once per task. Nulls, bounds and the number of values come from the
+    same counts. A computed table is computed once per column; store it first.
+    ``approximate`` counts distinct values with a sketch, all columns in one pass with one row
+    per task to shuffle.
     """
     fields = df.schema.fields
     heads = [
@@ -46,36 +48,36 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def _measures(df: DataFrame, approximate: bool) -> DataFrame:
     """Measures of all columns, by position."""
-    types = {field.dataType.simpleString(): field.dataType for field in df.schema.fields}
-    names = {kind: f"_value{k}" for k, kind in enumerate(types)}
+    if approximate:
+        return _sketched(df)
+    each = []
+    for place, name in enumerate(df.columns):
+        values = df.groupBy(F.col(f"`{name}`").alias("value")).agg(F.count("*").alias("rows"))
+        each.append(
+            values.agg(
+                F.lit(place + 1).alias("position"),
+                F.sum(F.when(F.col("value").isNull(), F.col("rows"))).alias("null_count"),
+                F.count("value").alias("distinct_count"),
+                F.min("value").cast("string").alias("min_value"),
+                F.max("value").cast("string").alias("max_value"),
+            )
+        )
+    return reduce(DataFrame.unionByName, each)
 
-    def cell(place: int):
-        field = df.schema.fields[place]
-        own = field.dataType.simpleString()
-        return F.struct(
+
+def _sketched(df: DataFrame) -> DataFrame:
+    """The same from one wide aggregate, whose only row is then split by column."""
+    wide = [
+        F.struct(
             F.lit(place + 1).alias("position"),
-            *(
-                (F.col(f"`{field.name}`") if kind == own else F.lit(None).cast(types[kind])).alias(name)
-                for kind, name in names.items()
-            ),
+            F.count_if(column.isNull()).alias("null_count"),
+            F.approx_count_distinct(column).alias("distinct_count"),
+            F.min(column).cast("string").alias("min_value"),
+            F.max(column).cast("string").alias("max_value"),
         )
-
-    values = df.select(F.inline(F.array(*(cell(k) for k in range(len(df.columns))))))
-    columns = [F.col(name) for name in names.values()]
-    missing = reduce(lambda a, b: a & b, (c.isNull() for c in columns))
-    if approximate:
-        rows = F.lit(1)
-        distinct = reduce(lambda a, b: a + b, (F.approx_count_distinct(c) for c in columns))
-    else:
-        values = values.groupBy("position", *columns).agg(F.count("*").alias("rows"))
-        rows = F.col("rows")
-        distinct = F.count(F.when(~missing, 1))
-    return values.groupBy("position").agg(
-        F.sum(F.when(missing, rows).otherwise(0)).cast("long").alias("null_count"),
-        distinct.alias("distinct_count"),
-        F.coalesce(*(F.min(c).cast("string") for c in columns)).alias("min_value"),
-        F.coalesce(*(F.max(c).cast("string") for c in columns)).alias("max_value"),
-    )
+        for place, column in enumerate(F.col(f"`{name}`") for name in df.columns)
+    ]
+    return df.agg(F.array(*wide).alias("measures")).select(F.inline("measures"))
 
 
 def sample_rows(df: DataFrame, n: int = 3, order_by: list[str] | None = None) -> DataFrame:

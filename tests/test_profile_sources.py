@@ -1,5 +1,6 @@
 """Profiles, table loading, exports and report bundles."""
 
+import re
 from collections import Counter
 from datetime import timedelta
 
@@ -48,6 +49,28 @@ def test_column_profile_of_nothing_and_sketch(dispense):
         }
 
 
+def test_column_profile_reads_each_column_apart(spark, tmp_path):
+    """No row is multiplied, and names may be those the profile uses itself."""
+    rows = [(1, "x", None, True), (1, None, 2.5, False), (None, "y", 0.5, None), (3, "y", 0.5, True)]
+    names = ["value", "rows", "a.b", "position"]
+    spark.createDataFrame(rows, "value int, rows string, `a.b` double, position boolean").write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    for sketch in (False, True):
+        got = [tuple(r) for r in profile.column_profile(stored, sketch).drop("data_type", "nullable").collect()]
+        assert got == [
+            (1, names[0], 1, 2, "1", "3"),
+            (2, names[1], 1, 2, "x", "y"),
+            (3, names[2], 1, 2, "0.5", "2.5"),
+            (4, names[3], 1, 2, "false", "true"),
+        ]
+    plan = profile.column_profile(stored)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert sorted(r.split(":")[0] for r in read) == sorted(names)
+    assert "Expand" not in plan and plan.count("Generate") <= 1  # that of the list of columns
+    counts = profile.table_row_counts({"t": stored})._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in counts  # rows are counted from the footers
+
+
 def test_profile_lines_and_bundle(dispense):
     lines = {(r["section"], r["name"]): r["value"]
              for r in rows_of(reports.profile_lines(dispense, "DispensedDate", "StoreId"))}
