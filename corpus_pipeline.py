@@ -45,6 +45,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_dups.near_duplicates(docs)
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    # Stored, their size is known: few ids go to the texts, many meet them by a shuffle.
+    path = shared_folder(spark, "gone")
+    gone.write.parquet(path)
+    gone = spark.read.schema(gone.schema).parquet(path)
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

@@ -225,7 +225,6 @@ def near_duplicates(
         .agg(F.min("digest").alias("digest"))
         .filter(F.col("digest").isNotNull())
     )
-    own = settled(own)
     # A class for each distinct set, named by its smallest doc_id.
     classes = settled(own.groupBy("digest").agg(F.min("doc_id").alias("class")))
     banded = settled(
@@ -233,10 +232,11 @@ def near_duplicates(
             sketched.select(F.col("doc_id").alias("class"), "digest", "n_shingles", "bands"),
             ["class", "digest"],
         )
-        .dropDuplicates(["class"])
+        .dropDuplicates(["class", "digest"])  # a class has one digest: as the join has dealt them
         .select("class", "digest", F.col("n_shingles").alias("n"), "bands")
     )
-    members = banded.select("class", "n", "digest", F.explode("bands").alias("bucket"))
+    # Every class has 32 of these rows: its digest joins those that are left.
+    members = banded.select("class", "n", F.explode("bands").alias("bucket"))
     # The hub of a bucket is the member least by its id XOR the bucket's key: members meet
     # other hubs in other buckets.
     crowds = settled(
@@ -246,7 +246,8 @@ def near_duplicates(
         .select("bucket", F.expr("least ^ bucket").alias("hub"))
     )
     shared = settled(members.join(crowds, "bucket"))
-    wanted = shared.select(F.col("class").alias("doc_id"), "digest").distinct()
+    wanted = banded.select("class", "digest").join(shared.select("class"), "class", "left_semi")
+    wanted = wanted.withColumnRenamed("class", "doc_id")
     sets = settled(_sets(rows.join(wanted, "doc_id"), shingle).dropDuplicates(["id"]))
 
     stars = settled(
@@ -254,8 +255,7 @@ def near_duplicates(
         .select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
         .distinct()
     )
-    found = connected_components(settled(_verified(stars, sets, percent)))
-    found = settled(found)
+    found = settled(connected_components(_verified(stars, sets, percent)))
 
     # Buckets that still hold several components.
     apart = shared.join(found.withColumnRenamed("id", "class"), "class", "left").select(
@@ -275,7 +275,7 @@ def near_duplicates(
         .filter("parts > 1")
         .drop("parts")
     )
-    open_rows = settled(apart.join(mixed, "bucket"))
+    open_rows = apart.join(mixed, "bucket")
     x = open_rows.withColumn("outside", F.col("component") != F.col("main")).groupBy("class").agg(
         F.first("n").alias("n"),
         F.first("component").alias("component"),
@@ -298,7 +298,7 @@ def near_duplicates(
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = settled(_verified(across, sets, percent))
+    more = _verified(across, sets, percent)
     final = connected_components(
         found.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more)
     )

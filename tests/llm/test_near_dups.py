@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from repeatlens.llm import near_dups
+from repeatlens.llm import common, near_dups
 from repeatlens.llm.components import connected_components
 from tests.llm.cases import AWKWARD, frame
 
@@ -92,3 +92,18 @@ def test_components(spark):
     want = _components([p for p in pairs if p[0] != p[1]], {i for p in pairs if p[0] != p[1] for i in p})
     assert got == want
     assert connected_components(edges.filter(F.lit(False))).count() == 0
+
+
+def test_stars_take_no_round_and_few_edges_few_tasks(spark, monkeypatch):
+    stored, dealt = common.stored, []
+    monkeypatch.setattr(common, "stored", lambda df: dealt.append(df) or stored(df))
+    stars = spark.createDataFrame([(a, 10 * a + k) for a in range(1, 9) for k in range(5)], "a long, b long")
+    got = {x["id"]: x["component"] for x in connected_components(stars).collect()}
+    assert got == {10 * a + k: a for a in range(1, 9) for k in range(5)} | {a: a for a in range(1, 9)}
+    assert len(dealt) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long").repartition(16)
+    assert {x["component"] for x in connected_components(path).collect()} == {0}
+    # A round reads its few edges in one task, and no edge twice.
+    for df in dealt[2:]:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 1, false" in plan and "Union" not in plan
