@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import letter_runs, like_pattern
+from ..sources.export import stored
 from .filters import matched, present
 
 GRAM = 3  # code points of a run; shorter terms are found by runs of their own length
 RAREST = 3  # runs of a term whose postings are read
+TEXTS = 100_000  # texts whose postings a task sorts into a file
 
 
 class TextIndex:
@@ -20,8 +22,9 @@ class TextIndex:
 
     ``key`` names the columns that tell rows apart, ``columns`` those to search. Stored are
 
-    * ``postings``: run of one to ``GRAM`` letters, id of a text that has it; sorted into ranges
-      of both, so that a run reads its row groups only and a frequent run lies in many files;
+    * ``postings``: run of one to ``GRAM`` letters, id of a text that has it; a file has those of
+      ``TEXTS`` texts, sorted by both, so that a run reads its row groups only, a frequent run
+      lies in all files and no posting is shuffled;
     * ``runs``: how many texts have a run, which picks the ones worth reading;
     * ``texts``: every distinct text once, in lower case;
     * ``carriers``: text id and key of the rows that hold it.
@@ -48,7 +51,9 @@ class TextIndex:
             carriers = carriers.join(self._read("carriers"), ["_id", *self.key], "left_anti")
         if self._has("texts"):
             texts = texts.join(self._read("texts").select("_id"), "_id", "left_anti")
-        letters = texts.withColumn("_letters", F.expr("filter(split(_text, ''), x -> x != '')"))
+        texts = stored(texts)
+        dealt = texts.repartition(texts.count() // TEXTS + 1, "_id")
+        letters = dealt.withColumn("_letters", F.expr("filter(split(_text, ''), x -> x != '')"))
         sizes = (F.expr(letter_runs("_letters", str(size))) for size in range(1, GRAM + 1))
         postings = letters.select(F.explode(F.concat(*sizes)).alias("_run"), "_id")
         self._append(postings, "postings", ["_run", "_id"])
@@ -71,8 +76,8 @@ class TextIndex:
         return self.spark.read.parquet(f"{self.path}/{part}")
 
     def _append(self, df: DataFrame, part: str, order: list[str]) -> None:
-        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        ranged.write.mode("append").parquet(f"{self.path}/{part}")
+        placed = df if part == "postings" else df.repartitionByRange(*order)
+        placed.sortWithinPartitions(*order).write.mode("append").parquet(f"{self.path}/{part}")
 
     def _proposed(self, parts: list[str]) -> DataFrame | None:
         """Ids of the texts that have the rarest runs of these parts; None without a part.

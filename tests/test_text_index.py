@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from repeatlens.functions.text import any_contains, like_pattern
+from repeatlens.operators import text_index
 from repeatlens.operators.text_index import TextIndex
 
 SCHEMA = "id long, name string, town string, _text string"
@@ -91,3 +93,20 @@ def test_reads_few_postings(index, table):
     assert "BatchScan" not in plan and "CartesianProduct" not in plan
     unknown = index.keys("qqq")._jdf.queryExecution().optimizedPlan().toString()
     assert "postings" not in unknown
+
+
+def test_postings_are_sorted_files_without_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "TEXTS", 100)
+    rows = spark.range(1000).selectExpr("id", "concat('user', id, '@example.com') AS name")
+    index = TextIndex(spark, str(tmp_path / "users"), ["id"], ["name"])
+    plans, append = [], index._append
+    monkeypatch.setattr(index, "_append", lambda df, *to: plans.append((to[0], df)) or append(df, *to))
+    index.add(rows)
+    plan = dict(plans)["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [_id" in plan and "Aggregate" not in plan
+    files = list((tmp_path / "users" / "postings").glob("*.parquet"))
+    assert 10 <= len(files) <= 11
+    for path in files:
+        runs = pq.read_table(path)["_run"].to_pylist()
+        assert runs == sorted(runs)
+    assert _ids(index.search(rows, "USER99")) == sorted(x for x in range(1000) if str(x).startswith("99"))
