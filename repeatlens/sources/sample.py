@@ -32,6 +32,9 @@ TEST_SCHEMAS = {
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }
 
+# Line items a task joins at most, on average. Spark's own tasks hold what fits in 64 MB compressed.
+TASK_LINES = 1_000_000
+
 # The roles, by id from 1.
 ROLES = (
     ("Super Admin", "Full system access with all permissions"),
@@ -105,9 +108,14 @@ def dispense(source) -> DataFrame:
     lines, parts = source("lineitem"), source("part")
     count = F.nullif(parts.select(F.count(F.lit(1))).scalar(), F.lit(0))
     orders = source("orders").withColumn("_drug", F.col("o_orderkey") % count)
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        parts, F.col("_drug") == F.col("p_partkey")
-    )
+    # Tasks of a long table are dealt by its length, so that what one sorts, and its caller counts
+    # beside that, does not grow with the table. Fewer of them than cores are left to Spark.
+    tasks = -(-lines.count() // TASK_LINES)
+    if tasks > source.spark.sparkContext.defaultParallelism:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+        parts = parts.repartition(tasks, "p_partkey")
+    sold = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = sold.join(parts, F.col("_drug") == F.col("p_partkey"))
     return joined.selectExpr(
         "CASE WHEN o_custkey % 97 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS PatPharmSysID",
         "CAST(o_orderkey AS STRING) AS OriginalScriptNumber",
