@@ -32,8 +32,9 @@ TEST_SCHEMAS = {
     "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }
 
-# Line items a task joins at most, on average. Spark's own tasks hold what fits in 64 MB compressed.
-TASK_LINES = 1_000_000
+# Line items a task joins on average; Spark's own tasks hold what fits in 64 MB compressed. And the
+# most tasks: shuffles into more (spark.shuffle.sort.bypassMergeThreshold) gather rows in memory.
+TASK_LINES, MOST_TASKS = 1_000_000, 200
 
 # The roles, by id from 1.
 ROLES = (
@@ -109,8 +110,8 @@ def dispense(source) -> DataFrame:
     count = F.nullif(parts.select(F.count(F.lit(1))).scalar(), F.lit(0))
     orders = source("orders").withColumn("_drug", F.col("o_orderkey") % count)
     # Tasks of a long table are dealt by its length, so that what one sorts, and its caller counts
-    # beside that, does not grow with the table. Fewer of them than cores are left to Spark.
-    tasks = -(-lines.count() // TASK_LINES)
+    # beside that, stays small. Fewer of them than cores are left to Spark.
+    tasks = min(-(-lines.count() // TASK_LINES), MOST_TASKS)
     if tasks > source.spark.sparkContext.defaultParallelism:
         lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
         parts = parts.repartition(tasks, "p_partkey")
